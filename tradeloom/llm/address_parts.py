@@ -119,3 +119,20 @@ def parse(text: str, cities: set[str]) -> Parts:
     else:
         street = next((c.strip() for c in body.split(",") if c.strip()), "")
     return Parts(number.lstrip("0"), re.sub(r"[^a-z一-鿿]", "", street), kind, city, post)
+
+
+def slips(a: str, b: str) -> int:
+    """Edit distance with swaps of neighbouring letters as one edit (optimal string alignment)."""
+    if a == b:
+        return 0
+    before: list[int] = []
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            row.append(d)
+        before, last = last, row
+    return last[-1]

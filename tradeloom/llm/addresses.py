@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tradeloom.functions.values import says_something
-from tradeloom.llm.address_parts import city_key, parse
+from tradeloom.llm.address_parts import city_key, parse, slips
 from tradeloom.operators.components import connected_components
 from tradeloom.runtime import cut
 
@@ -29,23 +29,6 @@ MAX_PLACES = 200_000
 _PARTS = StructType([StructField(n, StringType()) for n in ("number", "street", "kind", "city", "postcode")])
 
 
-def slips(a: str, b: str) -> int:
-    """Edit distance with swaps of neighbouring letters as one edit (optimal string alignment)."""
-    if a == b:
-        return 0
-    before: list[int] = []
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        before, last = last, row
-    return last[-1]
-
-
 @F.pandas_udf(IntegerType())
 def _slips(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter((slips(x, y) for x, y in zip(a, b)), dtype=np.int32, count=len(a)))
