@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradeloom.llm.addresses import locations, same_location
 from tradeloom.llm.boilerplate import body_lines
 from tradeloom.llm.contamination import leaks
+from tradeloom.llm.entity_match import match_entities
 from tradeloom.llm.mixing import mixture
 from tradeloom.llm.residue import residue_documents
 from tradeloom.llm.survivors import fieldwise, survivors, with_facts
@@ -33,6 +35,26 @@ def p2_fieldwise(spark: SparkSession, d: str) -> DataFrame:
     return fieldwise(_facts(spark, d))
 
 
+_SUPPLIER = ("id", "canonical_name", "domain", "primary_phone", "city", "country")
+_UPLOAD = ("row_id", "company_name", "website", "phone", "city", "country")
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return match_entities(table(spark, d, "suppliers").select(*_SUPPLIER), table(spark, d, "batch_upload_rows").select(*_UPLOAD))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).select("supplier_id", "row_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_location(table(spark, d, "suppliers").select("id", "city", "address", "factory_location"))
+
+
+def p7_locations(spark: SparkSession, d: str) -> DataFrame:
+    return locations(table(spark, d, "suppliers").select("id", "city", "address", "factory_location"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
 
@@ -57,6 +79,10 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_survivors": p2_survivors,
     "p2_fieldwise": p2_fieldwise,
+    "p5_found": p5_found,
+    "p5_matches": p5_matches,
+    "p7_found": p7_found,
+    "p7_locations": p7_locations,
     "p8_found": p8_found,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
