@@ -125,6 +125,18 @@ def slips(a: str, b: str) -> int:
     """Edit distance with swaps of neighbouring letters as one edit (optimal string alignment)."""
     if a == b:
         return 0
+    same = 0
+    shorter = min(len(a), len(b))
+    while same < shorter and a[same] == b[same]:
+        same += 1
+    a, b = a[same:], b[same:]
+    same, shorter = 0, shorter - same
+    while same < shorter and a[-1 - same] == b[-1 - same]:
+        same += 1
+    if same:
+        a, b = a[:-same], b[:-same]
+    if not a or not b:
+        return len(a) + len(b)
     before: list[int] = []
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
