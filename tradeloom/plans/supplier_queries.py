@@ -314,6 +314,17 @@ def shipper_activity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "shipment_records").groupBy("shipper_name").agg(F.min("shipment_date").alias("first_date"), F.max("shipment_date").alias("last_date"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {_SHIP}, top AS (SELECT id, canonical_name, composite_score FROM suppliers WHERE coalesce(flagged, false) = false ORDER BY composite_score DESC NULLS LAST, canonical_name, id LIMIT 100)
+SELECT id, canonical_name, composite_score, coalesce((shipments_uk > 0)::INT + (shipments_eu > 0)::INT + (shipments_us > 0)::INT, -1) AS markets FROM top LEFT JOIN ship ON ship.supplier_id = top.id ORDER BY markets DESC, composite_score DESC NULLS LAST, canonical_name, id LIMIT 20""")
+def buyer_profile_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Two-stage ranking: the best 100 by score, re-ranked by confirmed markets; both limits are the feature."""
+    order = [F.col("composite_score").desc_nulls_last(), "canonical_name", "id"]
+    top = table(spark, d, "suppliers").where("coalesce(flagged, false) = false").select("id", "canonical_name", "composite_score").orderBy(*order).limit(100)
+    markets = export_maturity(spark, d)
+    joined = top.join(markets, top.id == markets.supplier_id, "left").select("id", "canonical_name", "composite_score", F.coalesce("markets", F.lit(-1)).alias("markets"))
+    return joined.orderBy(F.col("markets").desc(), *order).limit(20)
+
+
 # --- text and values --------------------------------------------------------------------------------------------------
 
 
