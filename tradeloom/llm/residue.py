@@ -1,26 +1,21 @@
 """Template residue, filler, error pages and script notices in documents.
 
 Documents are cut into lines and sentences; distinct masked segments are the nodes of a
-near-duplicate graph.  SimHash fingerprints are compared through partitioned tables, links are
-verified by Hamming distance and text similarity, and trusted residue labels are propagated
+near-duplicate graph.  Candidates share one of the smallest shingle hashes, so many of them that
+no link is lost, links are verified by text similarity, and trusted residue labels are propagated
 through the connected components, by widening the labelled set until it stops growing.  A
 document with a labelled segment is residue.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from tradeloom.runtime import cut, small_side, sql_text
 
-#: Words of a shingle, least Jaccard similarity and most differing bits of a link; tables of the fingerprint.
-SHINGLE, SIMILARITY, HAMMING, TABLES = 5, 0.8, 3, 4
+#: Words of a shingle and least Jaccard similarity of a link.
+SHINGLE, SIMILARITY = 5, 0.8
 
 #: What an unfilled template placeholder looks like in lower-case text.
 PLACEHOLDERS = (
@@ -73,46 +68,35 @@ def trusted(seg: str = "seg") -> Column:
     return F.col(seg).rlike(f"(?U){rules}") | ((words >= 4) & (latin >= 0.6 * words))
 
 
-@F.pandas_udf(LongType())
-def _simhash(shingles: pd.Series) -> pd.Series:
-    """64-bit SimHash of arrays of 64-bit shingle hashes."""
-    out = np.zeros(len(shingles), dtype=np.int64)
-    shifts = np.arange(64, dtype=np.uint64)
-    for k, s in enumerate(shingles):
-        bits = (np.asarray(s, dtype=np.int64).view(np.uint64)[:, None] >> shifts) & np.uint64(1)
-        ones = 2 * bits.sum(axis=0, dtype=np.int64) > len(s)
-        out[k] = np.bitwise_or.reduce(np.where(ones, np.uint64(1) << shifts, np.uint64(0))).view(np.int64)
-    return pd.Series(out)
-
-
 def _shingles(seg: str) -> str:
     units = f"regexp_extract_all({seg}, {sql_text(r'(?U)([一-鿿]|[^\W一-鿿]+|[^\s\w])')}, 1)"
     return f"transform(array({units}), u -> CASE WHEN size(u) <= {SHINGLE} THEN array(xxhash64(array_join(u, ' '))) ELSE array_distinct(transform(sequence(1, size(u) - {SHINGLE - 1}), i -> xxhash64(array_join(slice(u, i, {SHINGLE}), ' ')))) END)[0]"
 
 
-def fingerprints(segs: DataFrame) -> DataFrame:
-    """(seg, shingles, sig) of distinct segments."""
-    return segs.select("seg", F.expr(_shingles("seg")).alias("shingles")).withColumn("sig", _simhash("shingles"))
+def shingled(segs: DataFrame) -> DataFrame:
+    """(seg, shingles) of distinct segments, shingles in the order of their hashes."""
+    return segs.select("seg", F.expr(f"array_sort({_shingles('seg')})").alias("shingles"))
 
 
-def _tables(df: DataFrame, prefix: str) -> DataFrame:
-    bits = 64 // TABLES
-    cols = [F.col(c).alias(prefix + c) for c in df.columns]
-    return df.select(*cols, F.posexplode(F.array(*[F.shiftrightunsigned(F.col("sig"), bits * k).bitwiseAND(2**bits - 1) for k in range(TABLES)])).alias("tab", "cell"))
+def _keyed(df: DataFrame, prefix: str) -> DataFrame:
+    """One row for each of the smallest shingles, of which two sets as alike as SIMILARITY share at least one."""
+    n = F.size("shingles")
+    least = (n - F.ceil(SIMILARITY * n - 1e-9) + 1).cast("int")
+    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns], F.explode(F.slice("shingles", F.lit(1), least)).alias("cell"))
 
 
 def widen(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
     """(seg): ``labelled`` and every node in a connected component with one of them.
 
-    Two nodes are linked if their fingerprints differ in at most HAMMING bits and their shingle
-    sets reach SIMILARITY.  With TABLES = HAMMING + 1 partitions, linked nodes share a cell of at
-    least one table, so no link is lost.  Each round joins only the latest additions.
+    Two nodes are linked if their shingle sets reach SIMILARITY.  Of n shingles, at least
+    SIMILARITY * n stand in the other set, so among the n - ceil(SIMILARITY * n) + 1 smallest of
+    each is a common one: no link is lost.  Each round joins only the latest additions.
     """
     known = front = cut(labelled)
     while front.limit(1).count():
-        near = _tables(small_side(front), "a_").join(_tables(nodes, ""), ["tab", "cell"])
-        near = near.where(F.bit_count(F.col("a_sig").bitwiseXOR(F.col("sig"))) <= HAMMING).where(F.size(F.array_intersect("a_shingles", "shingles")) >= SIMILARITY * F.size(F.array_union("a_shingles", "shingles")))
-        front = cut(near.select("seg", "shingles", "sig").dropDuplicates(["seg"]).join(known.select("seg"), "seg", "left_anti"))
+        near = small_side(front).transform(_keyed, "a_").join(_keyed(nodes, ""), "cell")
+        near = near.where(F.size(F.array_intersect("a_shingles", "shingles")) >= SIMILARITY * F.size(F.array_union("a_shingles", "shingles")))
+        front = cut(near.select("seg", "shingles").dropDuplicates(["seg"]).join(known.select("seg"), "seg", "left_anti"))
         known = known.unionByName(front)
     return known.select("seg")
 
@@ -125,7 +109,7 @@ def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     trusted forms and is no near-duplicate of one.
     """
     segs = segment_keys(docs, key, text)
-    nodes = cut(fingerprints(segs.select("seg").distinct()))
+    nodes = cut(shingled(segs.select("seg").distinct()))
     labels = widen(nodes, nodes.where(trusted("seg")))
     return segs.join(small_side(cut(labels)), "seg", "left_semi").select(key).distinct()
 
