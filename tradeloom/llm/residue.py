@@ -1,43 +1,82 @@
 """Template residue, filler, error pages and script notices in documents.
 
-Documents are cut into lines and sentences; distinct masked segments are the nodes of a
-near-duplicate graph.  Candidates share one of the smallest shingle hashes, so many of them that
-no link is lost, links are verified by text similarity, and trusted residue labels are propagated
-through the connected components, by widening the labelled set until it stops growing.  A
-document with a labelled segment is residue.
+Documents are cut into lines and sentences; distinct masked segments are the nodes of a graph.
+Segments that partitioned SimHash tables bring together are linked if Hamming distance and text
+similarity verify them.  Anything in template marks is a slot; a slot's wording is linked with
+the frames of words that it stands in.  A small seed of trusted labels is propagated through the
+connected components: from a few unmistakable slots over the frames to every other wording of a
+slot, and from known messages and filler to their near-duplicates.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.operators.components import connected_components
 from tradeloom.runtime import cut, small_side, sql_text
 
-#: Words of a shingle and least Jaccard similarity of a link.
-SHINGLE, SIMILARITY = 5, 0.8
-
-#: What an unfilled template placeholder looks like in lower-case text.
-PLACEHOLDERS = (
-    r"\{\{[^{}\n]{0,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"\{#[^{}\n]{1,60}#\}", r"<%[^<>\n]{1,60}%>", r"<\?[^<>\n]{1,60}\?>", r"\$\{[^{}\n]{1,60}\}", r"\#\{[^{}\n]{1,60}\}", r"\[\[[^\[\]\n]{1,60}\]\]", r"<<[^<>\n]{1,60}>>", r"«[a-z]+[._][a-z._]+»",
-    r"%[a-z]{2,}(?:_[a-z]+)*%", r"%%[^%\n]{2,40}%%", r"__[a-z]+(?:_[a-z]+)*__", r"@@[a-z_ ]{2,40}@@", r"##?[a-z]+(?:_[a-z]+)*##?(?![\w])", r"~~[a-z_]{2,40}~~", r"\$[a-z]+_[a-z_]+\$?", r"\*\|[a-z_:]{2,40}\|\*", r"\|\|[a-z_]{2,40}\|\|", r"(?<![}\w])\{[a-z]+(?:[_. ][a-z]+)*\}(?![{\w])", r"(?<![}\w])\{\d\}(?![{\w])",
-    r"\[object object\]", r"\[(?:your|our|insert|enter|add|company|customer|client|product|name|date|city|country|price|image|title|address|phone|e-?mail|contact|link|logo|placeholder|firma|firmenname|ihr|ihre|hier|name der|produkt|nombre|su |inserte|empresa|producto|nome|nom |votre|ürün|şirket|firma ad|adınız|公司|产品|请|您的|此处|填写)[^\[\]\n]{0,60}\]",
-    r"<(?:your|our|insert|enter|company|customer|product|name|firma|firmenname|ihr|ihre|hier|nombre|su |inserte|empresa|ürün|şirket|公司|产品|请|您的)[^<>\n]{0,60}>", r"【(?:公司|产品|请|您的|此处)[^【】\n]{0,40}】", r"\bx{2,}[.,/-]x{2,}\b", r"\bx{4,}\b",
-    r"(?:^|: |dear |from |welcome to |in |to |by |for |hello |hi )(?:undefined|null|nan|none)(?=[,.;]| and | takes | has | is |$)", r"^(?:undefined|null|nan) (?:–|-|has |is )",
-)
-
-#: Messages that stand where content should, as whole or leading parts of a segment in lower case; digits are 0.
-MESSAGES = (
+#: Words of a shingle of long segments, letters of a group of short ones, words from which a segment is long, and least Jaccard similarity of a link.
+SHINGLE, GROUP, LONG, SIMILARITY = 5, 3, 40, 0.8
+#: Most differing bits of two fingerprints; a pair of SIMILARITY differs in about 10 of 64 and shares a table's cell with probability RECALL over all tables.
+HAMMING, RECALL = 22, 0.98
+
+#: Marks in which templates put what is to be filled in, and what programs print for nothing (lower-case text, numbers as 0).
+SLOT = "|".join((
+    r"\{\{[^{}\n]{0,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"<%[^<>\n]{1,60}%>", r"[$#]\{[^{}\n]{1,60}\}", r"\[\[[^\[\]\n]{1,60}\]\]", r"<<[^<>\n]{1,60}>>",
+    r"%%?[a-z]{2,}(?:_[a-z]+)*%%?", r"__[a-z]+(?:_[a-z]+)*__", r"@@[a-z_ ]{2,40}@@", r"##?[a-z]+(?:_[a-z]+)*##?(?!\w)", r"\*\|[a-z_:]{2,40}\|\*",
+    r"\{[^{}\n]{1,60}\}", r"\[[^\[\]\n]{2,60}\]", r"【[^【】\n]{2,40}】", r"«[^«»\n]{2,40}»", r"<[^<>=/\n]+ [^<>=/\n]+>", r"\bx{2,}[.,/-]x{2,}\b", r"\b(?:undefined|null|nan|none)\b",
+))
+#: Trusted slots: marks that nothing but a template engine uses, and numbered places.
+TRUSTED_SLOTS = r"\{\{[^{}]*\}\}|\{%[^{}]+%\}|<%[^<>]+%>|\$\{[^{}]+\}|\{0\}"
+#: A slot's wording is a node of its own if it has letters and is no plain word.
+_WORDED = r"^(?=.*\p{L}\P{L}*\p{L})(?!(?:undefined|null|nan|none)$)"
+
+#: Trusted messages: how segments begin or read that stand where content should (lower-case text, numbers as 0).
+TRUSTED_MESSAGES = (
     # scripts required
-    r"(?:enable|activate|turn on|allow|switch on)\b[^.]{0,20}\b(?:java ?scripts?|scripts|scripting)\b[^.]{0,12}(?:\bto\b|\bin your\b|\bfor this\b|\band\b|$|\.)", r"(?:java ?script|scripting) (?:is|seems to be|appears to be|must be|has been)?\s?(?:disabled|turned off|switched off|not enabled|deactivated|required|blocked)", r"has (?:java ?script|scripting|scripts) (?:turned off|disabled|switched off)", r"(?:site|page|shop|app|application|catalogue|store|website|form) (?:requires|needs|only works with|does not work without|will not work without|doesn't work without) (?:java ?script|scripts|scripting)", r"turn it on in the settings and reload", r"\bblocks scripts\b", r"^(?:loading|please wait)\W*(?:java ?script|scripts?)\b",
-    r"(?:aktivieren|erlauben|schalten) sie (?:bitte )?java ?script", r"java ?script (?:ist|wurde|muss)[^.]{0,20}(?:deaktiviert|ausgeschaltet|aktiviert|eingeschaltet|nicht aktiviert)", r"(?:active|habilite|activa|habilita|activar) java ?script", r"java ?script (?:está|esta) (?:desactivado|deshabilitado)", r"java ?script['’]?[iıuü]? (?:etkinleştirin|etkinlestirin|açın|açmanız)", r"java ?script (?:devre dışı|kapalı)", r"(?:启用|开启|打开|允许)[^。]{0,6}(?:java ?script|脚本)", r"(?:java ?script|脚本)(?:已)?(?:被)?(?:禁用|关闭)", r"(?:activez|activer) java ?script", r"abilitare java ?script", r"włącz[^.]{0,8} java ?script",
+    r"(?:enable|activate|turn on|allow) (?:java ?script|scripts)\b.{0,12}(?:\bto\b|\bin your\b|\band\b|$|\.)",
+    r"java ?script (?:is|must be) (?:disabled|turned off|required)",
+    r"(?:site|page|shop|app) (?:requires|needs) (?:java ?script|scripts)\b",
+    r"\bbrowser (?:is out of date|blocks scripts)\b",
+    r"aktivieren sie (?:bitte )?java ?script",
+    r"(?:active|habilite) java ?script",
+    r"java ?script['’]?i etkinleştirin",
+    r"(?:启用|开启)[^。]{0,6}(?:java ?script|脚本)",
     # error pages
-    r"^\W*(?:http )?(?:error )?000?(?:0)?\W{1,4}(?:page |file |seite )?(?:not found|forbidden|unauthorized|internal server error|bad gateway|bad request|gateway time-?out|service unavailable|gone|method not allowed)", r"^\W*0+ (?:not found|forbidden|internal server error|bad gateway|bad request|gateway time-?out|service (?:temporarily )?unavailable|page not found|too many requests)\b", r"\b0 (?:internal server error|bad gateway|gateway time-?out|forbidden)\b", r"\b0 - page not found\b", r"page you (?:were|are) looking for|page you requested (?:could|can|was|has|is)", r"you do not have permission to (?:open|access|view)", r"something went wrong on our (?:side|end)", r"^(?:the )?(?:service|server|site|website|page) (?:is )?(?:temporarily |currently )?(?:unavailable|down|overloaded)", r"service temporarily unavailable", r"^maintenance until\b", r"(?:site|page) (?:is )?(?:down|closed|offline) for (?:scheduled )?maintenance", r"\berror establishing a database connection", r"this (?:site|page|webpage) (?:can['’]?t|cannot|could not) be (?:reached|displayed|loaded|found)", r"^traceback \(most recent call last\)", r"^(?:keyerror|valueerror|typeerror|indexerror|attributeerror|nameerror|runtimeerror): ", r"\bfile \"[^\"]+\.py\", line 0", r"\bjava\.[a-z.]+(?:exception|error)\b", r"\b(?:fatal|parse|syntax) error: ", r"^(?:warning|notice|deprecated): [a-z_]+\(\)", r"^uncaught (?:type|reference|syntax|range)?error", r"\bstack trace:", r"^(?:oops|whoops|uh-oh)\W+(?:nothing|something|we|the|that|an|this|page)?", r"the (?:product|item|article|page|resource|file) [^.]{0,20}you requested (?:is gone|was not found|does not exist|is no longer)", r"too many requests from your", r"please slow down and retry",
-    r"^seite nicht gefunden", r"(?:gewünschte|angeforderte|aufgerufene) (?:adresse|seite)[^.]{0,12} (?:existiert|wurde|konnte|ist) ", r"^(?:interner serverfehler|zugriff verweigert|fehler 0)\b", r"^página no encontrada", r"la página (?:que busca|solicitada)", r"^(?:acceso denegado|error interno)", r"aradığınız sayfa|aradiğiniz sayfa|aradiginiz sayfa", r"^(?:sayfa bulunamadı|erişim engellendi|sunucu hatası)", r"页面(?:不存在|未找到|找不到|已(?:被)?删除|无法访问)", r"(?:您访问的|您要访问的|您请求的)页面", r"^(?:访问被拒绝|服务器(?:内部)?错误|服务(?:暂时)?不可用|网站维护中|网站正在维护)", r"^(?:pagina non trovata|page non trouvée|page introuvable|nie znaleziono strony|strona nie istnieje)",
+    r"^\W*(?:error )?0\W{1,3}(?:page )?(?:not found|forbidden|internal server error|bad gateway|service unavailable)",
+    r"page you were looking for",
+    r"^(?:the )?(?:service|server|site|website) (?:is )?temporarily unavailable",
+    r"\berror establishing a database connection",
+    r"this (?:site|page) can['’]?t be reached",
+    r"^traceback \(most recent call last\)",
+    r"^[a-z.]+exception at \b|^fatal error: uncaught|^warning: [a-z_]+\(\)",
+    r"\b(?:product|page|item) [^.]{0,20}you requested is gone",
+    r"^too many requests from your",
+    r"^seite nicht gefunden|gewünschte (?:adresse|seite) existiert nicht",
+    r"^página no encontrada",
+    r"aradığınız sayfa bulunamadı|aradiğiniz sayfa bulunamadi",
+    r"页面不存在",
     # blocking, log-in and parking
-    r"^access (?:to this (?:page|site|resource) )?(?:has been |is )?(?:denied|blocked)", r"your (?:request|access|ip(?: address)?|connection) (?:was|has been|is) (?:blocked|denied|refused)", r"(?:verify|confirm|prove) (?:that )?you (?:are|['’]re) (?:not a robot|human|a human)", r"complete the (?:check|captcha|security check)", r"(?:checking your browser|unusual traffic)", r"^(?:please )?(?:solve|complete) the captcha", r"^(?:your )?session (?:has )?(?:expired|timed out)", r"please log in again", r"^account suspended", r"(?:account|site) has been suspended", r"contact your hosting provider", r"domain (?:name )?(?:is|may be) (?:for sale|parked|available)", r"buy this domain", r"^(?:this )?(?:page|domain) (?:is )?parked", r"^(?:site|website|page|shop) (?:is )?under construction", r"^(?:coming soon|under construction)\W*$", r"future home of", r"diese domain (?:steht zum verkauf|ist geparkt)", r"(?:dominio|domain) (?:en venta|satılık)", r"该域名(?:出售|待售)|域名出售", r"^it works!$", r"^welcome to nginx", r"^apache0? .{0,20}default page", r"^index of /",
+    r"^access denied|^your request was blocked",
+    r"verify that you are not a robot",
+    r"^(?:your )?session (?:has )?expired",
+    r"^account suspended",
+    r"\bdomain is for sale",
     # filler
-    r"^(?:sub-?)?heading goes here", r"\b(?:your )?(?:text|content|title|description|copy) (?:goes|will go|comes) here\b", r"describe the service in two or three lines", r"^this is (?:a|an) (?:sample|example|placeholder|dummy) (?:paragraph|text|page|post|title)", r"click here to edit (?:it|this|me)?", r"^(?:just another (?:sample|wordpress)|sample page|hello world!?$)", r"delete this and start writing", r"^delete (?:or edit )?this\b", r"\b(?:asdf|qwer|qwertz|qwerty)(?: (?:asdf|qwer|qwerty|jklö|test|0))+", r"^(?:test ){2,}", r"^(?:(?:tbd|tbc|todo|xxx|n/a)\W*){2,}$", r"^(?:product description\W*){2,}", r"^(?:dummy|placeholder|sample|filler) text(?:\W|$)(?!on )", r"hier (?:steht|kommt|entsteht)[^.]{0,12}(?:blindtext|text|beispieltext|inhalt)", r"^(?:blindtext|mustertext|beispieltext|platzhalter)\b", r"texto de (?:ejemplo|relleno|prueba)", r"sustituya este (?:párrafo|texto)", r"^(?:su texto|aquí va|escriba aquí)", r"buraya (?:metin|yazı|içerik)", r"^(?:örnek metin|deneme yazısı)", r"(?:此处|这里)(?:为|是|填写|放置|输入)[^。]{0,6}(?:示例|占位|文字|内容|说明)", r"请替换为", r"^(?:示例文字|占位文字|测试内容|这是一段示例)", r"testo segnaposto|texte d['’]exemple|tekst przykładowy",
+    r"^heading goes here|\byour text goes here",
+    r"^this is a sample (?:paragraph|page)|^just another sample page",
+    r"^delete this and start writing",
+    r"\basdf asdf\b|^(?:tbd\W*){2,}$|^(?:product description\W*){2,}",
+    r"hier steht ein blindtext",
+    r"texto de ejemplo",
+    r"buraya metin gelecek",
+    r"此处为示例文字",
 )
 
 #: Words of the usual Latin filler.
@@ -45,7 +84,7 @@ FILLER = "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisi
 
 
 def _segments(text: str) -> str:
-    t = f"replace(replace(replace(replace(replace({text}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ', ' ')"
+    t = f"replace(replace(replace(replace(replace({text}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ', ' ')"
     return f"split(lower({t}), {sql_text(r'[\r\n]+|(?<=[.!?])\s+|(?<=[。！？])')})"
 
 
@@ -60,58 +99,138 @@ def segment_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def trusted(seg: str = "seg") -> Column:
-    """True for segments that are residue by themselves: placeholders, known messages, Latin filler."""
+    """True for segments that are residue by themselves: known messages and Latin filler."""
     filler = "|".join(sorted(set(FILLER.split())))
     latin = F.size(F.expr(f"regexp_extract_all({seg}, {sql_text(rf'\b({filler})\b')}, 1)"))
     words = F.size(F.expr(f"regexp_extract_all({seg}, {sql_text(r'(?U)(\w+)')}, 1)"))
-    rules = "|".join(f"(?:{p})" for p in (*PLACEHOLDERS, *MESSAGES))
+    rules = "|".join(f"(?:{p})" for p in TRUSTED_MESSAGES)
     return F.col(seg).rlike(f"(?U){rules}") | ((words >= 4) & (latin >= 0.6 * words))
 
 
-def _shingles(seg: str) -> str:
+def slots(segs: DataFrame) -> DataFrame:
+    """(seg, slot, frame) of every slot: what stands in the marks, and each frame of words around it.
+
+    A frame is the two words on either side (at least three in all), or three words on one side.
+    """
+    marked = f"regexp_replace(seg, {sql_text('(?U)' + SLOT)}, ' ¤ ')"
+    words = f"regexp_extract_all({marked}, {sql_text(r'(?U)¤|[一-鿿]|[^\W一-鿿]+|[–—]')}, 0)"
+    rows = segs.select("seg", F.expr(f"regexp_extract_all(seg, {sql_text('(?U)' + SLOT)}, 0)").alias("slot"), F.expr(words).alias("w")).where("size(slot) > 0")
+    rows = rows.withColumn("at", F.expr("filter(sequence(1, size(w)), i -> w[i - 1] = '¤')"))
+    rows = rows.select("seg", "w", F.explode(F.arrays_zip("slot", "at")).alias("x")).select("seg", "w", "x.slot", "x.at").where("at IS NOT NULL AND slot IS NOT NULL")
+    part = lambda a, b: f"array_join(slice(w, greatest(at - {a}, 1), least(size(w), at + {b}) - greatest(at - {a}, 1) + 1), ' ')"
+    frames = f"array(CASE WHEN least(at - 1, 2) + least(size(w) - at, 2) >= 3 THEN {part(2, 2)} END, CASE WHEN at > 3 THEN {part(3, 0)} END, CASE WHEN size(w) - at >= 3 THEN {part(0, 3)} END)"
+    return rows.select("seg", "slot", F.explode(F.expr(f"filter(array_append({frames}, ''), f -> f IS NOT NULL)")).alias("frame"))
+
+
+def slot_residue(marks: DataFrame, seeds: str = TRUSTED_SLOTS) -> DataFrame:
+    """(seg): segments with a trusted slot, or with a slot or frame in one connected component with one.
+
+    ``marks`` is what ``slots`` gives.  Edges join a slot's wording with each of its frames, so
+    labels spread from trusted slots to the frames that they stand in, to the other wordings in
+    these frames, and to their frames.  What programs print for nothing is an ordinary word
+    elsewhere, so it takes its label from a frame and hands none on.
+    """
+    marks = cut(marks.withColumns({"s": F.xxhash64(F.lit("slot"), "slot"), "f": F.when(F.col("frame") != "", F.xxhash64(F.lit("frame"), "frame"))}))
+    worded = marks.where(F.col("slot").rlike(_WORDED) | F.col("slot").rlike(f"^(?:{seeds})$"))
+    part = connected_components(worded.where("f IS NOT NULL").select(F.col("s").alias("a"), F.col("f").alias("b")))
+    first = worded.where(F.col("slot").rlike(f"^(?:{seeds})$")).select("s").distinct()
+    good = part.join(first, F.col("node") == F.col("s"), "left_semi").select("component").distinct()
+    nodes = part.join(good, "component", "left_semi").select("node").union(first).distinct()
+    named = worded.join(nodes, F.col("s") == F.col("node"), "left_semi").select("seg")
+    framed = marks.join(nodes, F.col("f") == F.col("node"), "left_semi").select("seg")
+    return named.union(framed).distinct()
+
+
+def _features(seg: str) -> str:
+    """Distinct hashes of a segment's letter groups, or of its shingles if it is long."""
     units = f"regexp_extract_all({seg}, {sql_text(r'(?U)([一-鿿]|[^\W一-鿿]+|[^\s\w])')}, 1)"
-    return f"transform(array({units}), u -> CASE WHEN size(u) <= {SHINGLE} THEN array(xxhash64(array_join(u, ' '))) ELSE array_distinct(transform(sequence(1, size(u) - {SHINGLE - 1}), i -> xxhash64(array_join(slice(u, i, {SHINGLE}), ' ')))) END)[0]"
+    words = f"transform(array({units}), u -> CASE WHEN size(u) < {LONG} THEN NULL ELSE array_distinct(transform(sequence(1, size(u) - {SHINGLE - 1}), i -> xxhash64(array_join(slice(u, i, {SHINGLE}), ' ')))) END)[0]"
+    letters = f"array_distinct(transform(sequence(1, greatest(length({seg}) - {GROUP - 1}, 1)), i -> xxhash64(substring({seg}, i, {GROUP}))))"
+    return f"coalesce({words}, {letters})"
+
+
+def simhash(features: pd.Series) -> np.ndarray:
+    """64-bit SimHash of each array of hashes: each bit is the majority of the features' bits."""
+    out = np.zeros(len(features), dtype=np.int64)
+    for at in range(0, len(features), 256):
+        some = features.iloc[at : at + 256]
+        n = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
+        flat = np.concatenate([np.asarray(f, dtype=np.int64) for f in some]).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(np.unpackbits(flat, axis=1).astype(np.int32), np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
+        out[at : at + 256] = np.packbits(2 * ones > n[:, None], axis=1).view(np.int64).ravel()
+    return out
 
 
-def shingled(segs: DataFrame) -> DataFrame:
-    """(seg, shingles) of distinct segments, shingles in the order of their hashes."""
-    return segs.select("seg", F.expr(f"array_sort({_shingles('seg')})").alias("shingles"))
+def fingerprints(segs: DataFrame) -> DataFrame:
+    """(seg, sim): the SimHash of distinct segments."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"seg": b["seg"], "sim": simhash(b["x"])})
 
-def _keyed(df: DataFrame, prefix: str) -> DataFrame:
-    """One row for each of the smallest shingles, of which two sets as alike as SIMILARITY share at least one."""
-    n = F.size("shingles")
-    least = (n - F.ceil(SIMILARITY * n - 1e-9) + 1).cast("int")
-    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns], F.explode(F.slice("shingles", F.lit(1), least)).alias("cell"))
+    return segs.select("seg", F.expr(_features("seg")).alias("x")).mapInPandas(run, "seg string, sim bigint")
+
+
+def simhash_tables(bits: int) -> np.ndarray:
+    """Which fingerprint bits make the cells of each table: as many tables as find a pair of SIMILARITY with probability RECALL."""
+    cosine = 2 * SIMILARITY / (1 + SIMILARITY)
+    agree = (1 - math.acos(cosine) / math.pi) ** bits
+    rng = np.random.default_rng(5)
+    return np.stack([rng.permutation(64)[:bits] for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - agree)))])
+
+
+def _cells(df: DataFrame, bits: int, prefix: str = "") -> DataFrame:
+    """One row for each table, with the table's cell of the row's fingerprint."""
+    places = simhash_tables(bits)
+    weights = (1 << np.arange(bits)).astype(np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def cells(sim: pd.Series) -> pd.Series:
+        all_bits = np.unpackbits(sim.to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+        tab = np.arange(len(places), dtype=np.int64) << 32
+        return pd.Series(list((all_bits[:, places.ravel()].reshape(len(sim), *places.shape) @ weights) | tab))
+
+    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns], F.explode(cells("sim")).alias("cell"))
 
 
 def widen(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
     """(seg): ``labelled`` and every node in a connected component with one of them.
 
-    Two nodes are linked if their shingle sets reach SIMILARITY.  Of n shingles, at least
-    SIMILARITY * n stand in the other set, so among the n - ceil(SIMILARITY * n) + 1 smallest of
-    each is a common one: no link is lost.  Each round joins only the latest additions.
+    ``nodes`` and ``labelled`` are (seg, sim).  Two nodes are linked if they share a cell of a
+    SimHash table, differ in at most HAMMING bits and their texts reach SIMILARITY.  Each round
+    joins only the latest additions, so the work follows the residue, not the corpus; the last
+    round adds nothing.
     """
+    bits = int(np.clip(math.ceil(math.log2(max(nodes.count(), 2))) - 3, 8, 30))
     known = front = cut(labelled)
     while front.limit(1).count():
-        near = small_side(front).transform(_keyed, "a_").join(_keyed(nodes, ""), "cell")
-        near = near.where(F.size(F.array_intersect("a_shingles", "shingles")) >= SIMILARITY * F.size(F.array_union("a_shingles", "shingles")))
-        front = cut(near.select("seg", "shingles").dropDuplicates(["seg"]).join(known.select("seg"), "seg", "left_anti"))
+        probes = cut(_cells(front, bits, "a_"))
+        near = _cells(nodes, bits).join(small_side(probes), "cell").where(F.bit_count(F.col("sim").bitwiseXOR(F.col("a_sim"))) <= HAMMING)
+        pairs = near.where("seg <> a_seg").select("seg", "sim", "a_seg").distinct().withColumns({"x": F.expr(_features("seg")), "y": F.expr(_features("a_seg"))})
+        alike = pairs.where(F.size(F.array_intersect("x", "y")) >= SIMILARITY * F.size(F.array_union("x", "y")))
+        front = cut(alike.select("seg", "sim").distinct().join(known.select("seg"), "seg", "left_anti"))
         known = known.unionByName(front)
     return known.select("seg")
 
 
+def residue_segments(segs: DataFrame) -> DataFrame:
+    """(seg): the distinct segments that are residue, from ``segs`` (seg), by propagation from the trusted seed."""
+    nodes = segs.select("seg").distinct()
+    marks = cut(slots(nodes))
+    plain = cut(fingerprints(nodes.join(marks.select("seg").distinct(), "seg", "left_anti")))
+    return widen(plain, plain.where(trusted("seg"))).union(slot_residue(marks)).union(marks.where(trusted("seg")).select("seg")).distinct()
+
+
 def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key): documents that are, or contain, template residue, filler, error pages or script notices.
 
-    Whole texts are read.  Copies are found like their originals; null and empty texts hold no
-    residue; an empty table gives no rows.  Text that only mentions such things has none of the
-    trusted forms and is no near-duplicate of one.
+    Whole texts are read and cut once.  Copies are found like their originals; null and empty
+    texts hold no residue; an empty table gives no rows.  Text that only mentions such things has
+    none of the trusted forms, is no near-duplicate of one, and its marks stand in other frames.
     """
-    segs = segment_keys(docs, key, text)
-    nodes = cut(shingled(segs.select("seg").distinct()))
-    labels = widen(nodes, nodes.where(trusted("seg")))
-    return segs.join(small_side(cut(labels)), "seg", "left_semi").select(key).distinct()
+    segs = cut(segment_keys(docs, key, text))
+    labels = cut(residue_segments(segs))
+    return segs.join(small_side(labels), "seg", "left_semi").select(key).distinct()
 
 
 def clean_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
