@@ -24,7 +24,7 @@ from tradeloom.runtime import cut, small_side, sql_text
 #: Words of a shingle of long segments, letters of a group of short ones, words from which a segment is long, and least Jaccard similarity of a link.
 SHINGLE, GROUP, LONG, SIMILARITY = 5, 3, 40, 0.8
 #: Most differing bits of two fingerprints; a pair of SIMILARITY differs in about 10 of 64 and shares a table's cell with probability RECALL over all tables.
-HAMMING, RECALL = 22, 0.98
+HAMMING, RECALL = 18, 0.98
 
 #: Marks in which templates put what is to be filled in, and what programs print for nothing (lower-case text, numbers as 0).
 SLOT = "|".join((
@@ -201,7 +201,7 @@ def widen(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
     joins only the latest additions, so the work follows the residue, not the corpus; the last
     round adds nothing.
     """
-    bits = int(np.clip(math.ceil(math.log2(max(nodes.count(), 2))) - 3, 8, 30))
+    bits = int(np.clip(math.ceil(math.log2(max(nodes.count(), 2))) - 1, 8, 30))
     known = front = cut(labelled)
     while front.limit(1).count():
         probes = cut(_cells(front, bits, "a_"))
