@@ -39,6 +39,8 @@ _WORDED = r"^(?=.*\p{L}\P{L}*\p{L})(?!(?:undefined|null|nan|none)$)"
 
 #: Trusted messages: how segments begin or read that stand where content should (lower-case text, numbers as 0).
 TRUSTED_MESSAGES = (
+    # what programs print for nothing, where a name should stand
+    r"(?::|^dear|^hello) (?:undefined|null|nan)[,.;]",
     # scripts required
     r"(?:enable|activate|turn on|allow) (?:java ?script|scripts)\b.{0,12}(?:\bto\b|\bin your\b|\band\b|$|\.)",
     r"java ?script (?:is|must be) (?:disabled|turned off|required)",
