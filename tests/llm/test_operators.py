@@ -7,7 +7,7 @@ import pytest
 
 from tradeloom.llm import address_parts, boilerplate, company_names
 from tradeloom.llm.addresses import locations, same_location
-from tradeloom.llm.boilerplate import body_lines, constant_nodes
+from tradeloom.llm.boilerplate import aligned_nodes, body_lines
 from tradeloom.llm.contamination import WINDOW, Patterns, leaks, words
 from tradeloom.llm.entity_match import match_entities
 from tradeloom.llm.mixing import mixture
@@ -17,11 +17,28 @@ from tradeloom.llm.survivors import fieldwise, survivors, with_facts
 
 # p1
 def test_tree_matching_against_brute_force():
+    def longest(a, b):
+        return 0 if not a or not b else max(longest(a[1:], b), longest(a, b[1:]), 1 + longest(a[1:], b[1:]) if a[0] == b[0] else 0)
+
     rng = random.Random(3)
     for _ in range(200):
-        a, b = [rng.randrange(5) for _ in range(rng.randrange(8))], [rng.randrange(5) for _ in range(rng.randrange(8))]
-        got = constant_nodes(a, b)
-        assert sum(got) == sum(min(a.count(x), b.count(x)) for x in set(a))
+        a, b = [rng.randrange(5) for _ in range(rng.randrange(7))], [rng.randrange(5) for _ in range(rng.randrange(7))]
+        got = aligned_nodes(a, b)
+        pairs = [(i, j) for i, j in enumerate(got) if j >= 0]
+        assert all(a[i] == b[j] for i, j in pairs) and len(pairs) == longest(a, b)
+        assert all(p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_order_matters():
+    assert aligned_nodes([1, 2, 3], [3, 1, 2]) == [1, 2, -1]  # a line that moved is not constant
+
+
+def test_wrapper_of_the_host_comes_first(spark):
+    """A teaser that reads the same on every page of a host is furniture, though it reads like content."""
+    words = "amber birch cedar delta ember frost grove heron".split()
+    pages = [(k, f"https://www.one.example/p{k}", "\n".join(["Menu", f"Headline about {w}", f"The {w} hall was built in {1950 + k} by {w} masters.", "Mirvan Tools keeps about 731 sets in stock.", "Imprint"])) for k, w in enumerate(words[:4])]
+    got = {(r.page_id, r.line_no) for r in body_lines(spark.createDataFrame(pages, "page_id bigint, url string, text string")).collect()}
+    assert got == {(k, n) for k in range(4) for n in (2, 3)}
 
 
 def test_bodies(spark):

@@ -1,9 +1,10 @@
 """Main body of web pages, by wrapper induction over pages of one host.
 
 A page is a tree of lines.  Pages of one host are aligned by simple tree matching: nodes that
-stay constant are its template, the rest are slots.  How often a line's form is constant where
-it can be compared is then averaged over hosts, and that tells template from content also where a
-host gives little or no evidence.
+stay constant are its template, the rest are slots.  Lines that read the same on every compared
+page of the host are its wrapper and decided by it.  How often a line's form is constant where it
+can be compared is averaged over hosts, and that tells template from content where a host gives
+little or no evidence.
 """
 
 from __future__ import annotations
@@ -34,55 +35,52 @@ _BARS = (r"\s{2,}", r"\s*·\s*", r"\s*»\s*", r"\s*>\s*", r"\s+/\s+", r"\s*\|\s*
 _CUT = r"(?:…|\.\.\.|\[(?:more|mehr|más|devamı|更多)\])\s*$"
 
 
-def constant_nodes(page: list[int], ref: list[int]) -> list[bool]:
-    """For each line of ``page``, whether simple tree matching aligns it with an equal line of ``ref``.
+def aligned_nodes(page: list[int], ref: list[int]) -> list[int]:
+    """For each line of ``page``, the line of ``ref`` that simple tree matching aligns it with, or -1.
 
-    Lines are the ordered children of the two roots, so the matching is their longest common
-    subsequence; it is repeated on what is left, so that blocks that moved align as well.
+    Lines are the ordered children of the two roots, so the largest matching that keeps their
+    order is their longest common subsequence; a line that moved past it is not constant.
     """
-    got = [False] * len(page)
-    used = [False] * len(ref)
-    while True:
-        where: dict[int, list[int]] = {}
-        for j in range(len(ref) - 1, -1, -1):
-            if not used[j]:
-                where.setdefault(ref[j], []).append(j)
-        tails: list[int] = []
-        nodes: list[tuple[int, int, int]] = []  # (line, reference line, previous node)
-        heads: list[int] = []
-        for i, s in enumerate(page):
-            if not got[i]:
-                for j in where.get(s, ()):
-                    k = bisect_left(tails, j)
-                    nodes.append((i, j, heads[k - 1] if k else -1))
-                    if k == len(tails):
-                        tails.append(j)
-                        heads.append(len(nodes) - 1)
-                    else:
-                        tails[k] = j
-                        heads[k] = len(nodes) - 1
-        if not heads:
-            return got
-        at = heads[-1]
-        while at >= 0:
-            i, j, at = nodes[at]
-            got[i] = used[j] = True
+    where: dict[int, list[int]] = {}
+    for j in range(len(ref) - 1, -1, -1):
+        where.setdefault(ref[j], []).append(j)
+    tails: list[int] = []
+    heads: list[int] = []
+    nodes: list[tuple[int, int, int]] = []  # (line, reference line, previous node)
+    for i, s in enumerate(page):
+        for j in where.get(s, ()):
+            k = bisect_left(tails, j)
+            nodes.append((i, j, heads[k - 1] if k else -1))
+            if k == len(tails):
+                tails.append(j)
+                heads.append(len(nodes) - 1)
+            else:
+                tails[k] = j
+                heads[k] = len(nodes) - 1
+    got = [-1] * len(page)
+    at = heads[-1] if heads else -1
+    while at >= 0:
+        i, j, at = nodes[at]
+        got[i] = j
+    return got
 
 
 @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-def _align(sigs: pd.Series, url: pd.Series, refs: pd.Series) -> pd.Series:
-    """Per line: the reference pages it could be compared with, and those where it is constant."""
+def _align(sigs: pd.Series, exact: pd.Series, url: pd.Series, refs: pd.Series) -> pd.Series:
+    """Per line: the reference pages it could be compared with, those where it is constant, and those where it reads the same to the letter."""
     out = []
-    for own, u, others in zip(sigs, url, refs):
+    for own, letters, u, others in zip(sigs, exact, url, refs):
         own = list(own)
-        tried, same = 0, [0] * len(own)
+        tried, same, equal = 0, [0] * len(own), [0] * len(own)
         for r in others if others is not None else ():
             ref = list(r["sigs"])
             if r["url"] != u and ref != own:
                 tried += 1
-                for i, c in enumerate(constant_nodes(own, ref)):
-                    same[i] += c
-        out.append([[tried] * len(own), same])
+                for i, j in enumerate(aligned_nodes(own, ref)):
+                    if j >= 0:
+                        same[i] += 1
+                        equal[i] += letters[i] == r["exact"][j]
+        out.append([[tried] * len(own), same, equal])
     return pd.Series(out)
 
 
@@ -92,7 +90,7 @@ def _signatures(line: str) -> dict[str, str]:
     flat = f"trim(regexp_replace(regexp_replace({ids}, {sql_text(r'\d+(?:[.,]\d+)*')}, '0'), {sql_text(r'(?U)\s+')}, ' '))"
     names = f"regexp_replace(regexp_replace({flat}, {sql_text(r'\p{Lu}[\p{L}.''&-]*'.replace(chr(39) * 2, chr(39)))}, '*'), {sql_text(r'\*(?: \*)+')}, '*')"
     first = f"regexp_extract(lower({flat}), {sql_text(r'^(\P{L}*(?:[一-鿿]{1,4}|[^\s一-鿿]+ ?[^\s一-鿿]*))')}, 1)"
-    return {"s1": f"lower({flat})", "s2": f"lower({names})", "s3": f"concat({first}, CASE WHEN length({flat}) > length({first}) THEN '+' ELSE '' END, CASE WHEN {line} RLIKE {sql_text(_CUT)} THEN '~' WHEN {line} RLIKE {sql_text(r'[.!?。！？]\s*$')} THEN '.' ELSE '' END)"}
+    return {"s0": f"xxhash64(trim(regexp_replace({line}, {sql_text(r'(?U)\s+')}, ' ')))", "s1": f"lower({flat})", "s2": f"lower({names})", "s3": f"concat({first}, CASE WHEN length({flat}) > length({first}) THEN '+' ELSE '' END, CASE WHEN {line} RLIKE {sql_text(_CUT)} THEN '~' WHEN {line} RLIKE {sql_text(r'[.!?。！？]\s*$')} THEN '.' ELSE '' END)"}
 
 
 def _average(nodes: DataFrame, form: str) -> DataFrame:
@@ -118,31 +116,34 @@ def body_lines(pages: DataFrame, key: str = "page_id", url: str = "url", text: s
     """
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^(?:[a-z]+:)?/*([^/?#]+)", 1), F.lit(""))
     forms = _signatures("l.line")
-    lines = F.expr(f"transform(filter(transform(split(`{text}`, '\\n'), (x, i) -> named_struct('n', i + 1, 'line', x)), l -> trim(regexp_replace(l.line, '[\\\\s\\\\u00a0\\\\u3000]+', ' ')) <> ''), l -> named_struct('n', l.n, 'line', l.line, 's1', {forms['s1']}, 's2', {forms['s2']}, 's3', {forms['s3']}))")
+    lines = F.expr(f"transform(filter(transform(split(`{text}`, '\\n'), (x, i) -> named_struct('n', i + 1, 'line', x)), l -> trim(regexp_replace(l.line, '[\\\\s\\\\u00a0\\\\u3000]+', ' ')) <> ''), l -> named_struct('n', l.n, 'line', l.line, 's0', {forms['s0']}, 's1', {forms['s1']}, 's2', {forms['s2']}, 's3', {forms['s3']}))")
     base = pages.where(F.col(text).isNotNull()).select(F.col(key).alias("page"), host.alias("host"), F.xxhash64(F.coalesce(F.col(url), F.lit(""))).alias("url"), lines.alias("lines"))
-    base = base.withColumn("sigs", F.transform("lines", lambda x: F.xxhash64(x["s1"])))
+    base = base.withColumn("sigs", F.transform("lines", lambda x: F.xxhash64(x["s1"]))).withColumn("exact", F.col("lines.s0"))
 
     # One page per address, the REFERENCES smallest hashes of each host; the limit applies before the shuffle.
     near = Window.partitionBy("host").orderBy(F.xxhash64("url"), "url")
-    one = base.groupBy("host", "url").agg(F.min_by("sigs", "page").alias("sigs"))
-    refs = one.withColumn("k", F.row_number().over(near)).where(F.col("k") <= REFERENCES + 1).groupBy("host").agg(F.collect_list(F.struct("url", "sigs")).alias("refs"))
-    aligned = base.join(refs, "host").withColumn("m", _align("sigs", "url", "refs"))
-    rows = cut(aligned.select("page", "host", F.explode(F.arrays_zip("lines", F.col("m")[0].alias("tried"), F.col("m")[1].alias("same"))).alias("x")).select("page", "host", "x.lines.*", F.col("x.tried").alias("tried"), F.col("x.same").alias("same")))
+    one = base.groupBy("host", "url").agg(F.min_by(F.struct("sigs", "exact"), "page").alias("x")).select("host", "url", "x.*")
+    refs = one.withColumn("k", F.row_number().over(near)).where(F.col("k") <= REFERENCES + 1).groupBy("host").agg(F.collect_list(F.struct("url", "sigs", "exact")).alias("refs"))
+    aligned = base.join(refs, "host").withColumn("m", _align("sigs", "exact", "url", "refs"))
+    rows = cut(aligned.select("page", "host", F.explode(F.arrays_zip("lines", F.col("m")[0].alias("tried"), F.col("m")[1].alias("same"), F.col("m")[2].alias("equal"))).alias("x")).select("page", "host", "x.lines.*", "x.tried", "x.same", "x.equal"))
 
     # Nodes: the distinct lines of a host; forms are averaged over hosts and joined to the nodes only.
-    nodes = rows.groupBy("host", "s1", "s2", "s3").agg(F.sum("tried").alias("tried"), F.sum("same").alias("same"), F.first("line").alias("line"))
+    nodes = rows.groupBy("host", "s0", "s1", "s2", "s3").agg(F.sum("tried").alias("tried"), F.sum("same").alias("same"), F.sum("equal").alias("equal"), F.max("tried").alias("refs"), F.min("line").alias("line"))
     known = {form: _average(nodes, form) for form in ("s1", "s2", "s3")}
     # A bar of links is furniture if each of its parts is: parts are looked up as lines of their own.
     cuts = " ".join(f"WHEN trim(line) RLIKE {sql_text(rf'\S(?:{c})\S')} THEN split(trim(line), {sql_text(c)})" for c in _BARS)
     masked = "lower(trim(regexp_replace(regexp_replace(p, '\\\\d+', '0'), '\\\\s+', ' ')))"
     parts = nodes.withColumn("part", F.explode(F.expr(f"filter(transform(CASE {cuts} END, p -> {masked}), p -> p <> '')")))
     names = known["s1"].where(_decided("s1")).select(F.col("s1").alias("part"), F.lit(1).alias("known"))
-    bars = parts.join(names, "part", "left").groupBy("host", "s1", "s2", "s3").agg(((F.count(F.when(F.col("known").isNotNull() | (F.length("part") <= 3), 1)) == F.count(F.lit(1))) & (F.count(F.lit(1)) > 1)).alias("bar"))
+    bars = parts.join(names, "part", "left").groupBy("host", "s0").agg(((F.count(F.when(F.col("known").isNotNull() | (F.length("part") <= 3), 1)) == F.count(F.lit(1))) & (F.count(F.lit(1)) > 1)).alias("bar"))
     for form, rates in known.items():
         nodes = nodes.join(rates, form, "left")
-    nodes = nodes.join(bars, ["host", "s1", "s2", "s3"], "left")
+    nodes = nodes.join(bars, ["host", "s0"], "left")
     line = F.col("line")
     own = F.when(F.col("tried") > 0, F.col("same") >= 0.5 * F.col("tried"))
+    # The host's wrapper comes first: what reads the same to the letter on every page that it is compared with.
+    # Where there is but one, lines that other hosts have as well may coincide.
+    wrapper = (F.col("tried") > 0) & (F.col("equal") >= F.col("tried")) & ((F.col("refs") >= 2) | (F.coalesce(F.col("s1_hosts"), F.lit(0)) <= 1))
     label = F.regexp_replace(F.regexp_replace(F.col("host"), r"^www\.", ""), r"[^a-z]", "")
     bare = F.regexp_replace(F.lower(line), r"[^a-z]", "")
     brand = (F.length(bare) >= 5) & label.startswith(bare)
@@ -151,14 +152,14 @@ def body_lines(pages: DataFrame, key: str = "page_id", url: str = "url", text: s
     guess = F.when(line.rlike(_CUT), True).when(reads, False).otherwise(line.rlike(_PHONE) | contact)
     named = F.when(F.regexp_replace("s2", r"[^\p{L}]", "") != "", _decided("s2"))  # nothing but names and numbers is no form
     widget = F.col("s1").rlike("^(?:" + "|".join(WIDGETS) + ")$")
-    furniture = F.when(line.rlike(_MAIL), F.coalesce(own & (F.col("tried") >= 3), F.lit(False))).when(widget | brand | F.coalesce(F.col("bar"), F.lit(False)), True).otherwise(F.coalesce(_decided("s1"), F.when(reads | line.rlike(_CUT), F.coalesce(_decided("s3"), named)), own, named, _decided("s3"), guess))
-    judged = nodes.select("host", "s1", "s2", "s3", furniture.alias("furniture"), contact.alias("own_line"), (widget | F.coalesce(F.col("bar"), F.lit(False)) | (F.coalesce(F.col("s1_hosts"), F.lit(0)) >= LEAST_HOSTS)).alias("common"))
+    furniture = F.when(line.rlike(_MAIL), F.coalesce(own & (F.col("tried") >= 3), F.lit(False))).when(wrapper | widget | brand | F.coalesce(F.col("bar"), F.lit(False)), True).otherwise(F.coalesce(_decided("s1"), F.when(reads | line.rlike(_CUT), F.coalesce(_decided("s3"), named)), own, named, _decided("s3"), guess))
+    judged = nodes.select("host", "s0", furniture.alias("furniture"), contact.alias("own_line"), (widget | F.coalesce(F.col("bar"), F.lit(False)) | (F.coalesce(F.col("s1_hosts"), F.lit(0)) >= LEAST_HOSTS)).alias("common"))
 
     # Up to a mail line of the body, the phone before it and the address before that are body as well.
     # Furniture that many hosts have may stand between them.
     between = F.col("furniture") & F.col("common") & ~F.col("phone")
     order = Window.partitionBy("page").orderBy("n")
-    seen = rows.join(judged, ["host", "s1", "s2", "s3"]).withColumn("mail", line.rlike(_MAIL) & ~F.col("furniture")).withColumn("phone", line.rlike(_PHONE)).where(~between)
+    seen = rows.join(judged, ["host", "s0"]).withColumn("mail", line.rlike(_MAIL) & ~F.col("furniture")).withColumn("phone", line.rlike(_PHONE)).where(~between)
     seen = seen.withColumns({"next_mail": F.coalesce(F.lead("mail", 1).over(order), F.lit(False)), "next_phone": F.coalesce(F.lead("phone", 1).over(order), F.lit(False)), "then_mail": F.coalesce(F.lead("mail", 2).over(order), F.lit(False))})
     leads = F.col("next_mail") | (F.col("next_phone") & F.col("then_mail"))
     body = ~F.col("furniture") | (F.col("phone") & F.col("next_mail")) | (leads & F.col("own_line") & ~F.col("phone") & ~line.rlike(_CUT))
