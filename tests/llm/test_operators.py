@@ -10,7 +10,7 @@ from tradeloom.llm.addresses import locations, same_location
 from tradeloom.llm.boilerplate import aligned_nodes, body_lines
 from tradeloom.llm.contamination import WINDOW, Patterns, leaks, words
 from tradeloom.llm.entity_match import match_entities
-from tradeloom.llm.mixing import mixture
+from tradeloom.llm.mixing import STEPS, mixture, schedule
 from tradeloom.llm.residue import clean_documents, residue_documents
 from tradeloom.llm.survivors import fieldwise, survivors, with_facts
 
@@ -135,6 +135,27 @@ def test_mixture(spark):
         mixture(df.withColumnRenamed("doc_id", "copy"), targets)
 
 
+def test_weights_sum_to_one_and_shares_stay():
+    shares = {"a": 0.6, "b": 0.3, "c": 0.1, "d": 0.0}
+    w = schedule(shares, {"a": [(0, 2.0), (1, 0.2)], "c": [(0, 0.1), (0.5, 3.0), (1, 0.1)]})
+    assert set(w) == {"a", "b", "c"} and w["a"][0] > w["a"][-1] and schedule({}) == {}
+    assert all(abs(sum(x[k] for x in w.values()) - 1) < 1e-9 for k in range(STEPS))
+    assert all(abs(x.mean() - shares[s]) < 1e-6 for s, x in w.items())
+
+
+def test_positions_follow_the_schedule(spark):
+    docs = [(i, "ab"[i % 2], f"text {i} has these words") for i in range(2000)] + [(7, "b", "text 7 has these words")] * 2
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    corpus, _ = mixture(spark.createDataFrame(docs, "doc_id bigint, source string, text string"), targets, shapes={"a": [(0, 3.0), (1, 1.0)]})
+    rows = corpus.collect()
+    assert sum(r.doc_id == 7 and r["copy"] == 0 for r in rows) == 3  # repeated rows are texts of their own
+    w = schedule({"a": 0.5, "b": 0.5}, {"a": [(0, 3.0), (1, 1.0)]})
+    for low in range(0, STEPS, 16):
+        part = [r for r in rows if low / STEPS <= r.position < (low + 16) / STEPS]
+        share = sum(r.n_tokens for r in part if r.source == "a") / sum(r.n_tokens for r in part)
+        assert abs(share - w["a"][low : low + 16].mean()) < 0.03
+
+
 # p10
 def test_residue(spark):
     bad = ["Dear {{name}}, thank you.", "404 - Page not found", "You need to enable JavaScript to run this app.", "Good text here.\nLorem ipsum dolor sit amet consectetur adipiscing elit.", "Contact: undefined, phone on request.", "TBD TBD TBD.", "页面不存在或已被删除，5秒后返回首页。"]

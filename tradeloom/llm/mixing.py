@@ -8,17 +8,23 @@ gives every copy of a text its training position, and the corpus is range-sorted
 from __future__ import annotations
 
 import base64
+from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from tradeloom.runtime import cut, small_side
+
 #: Slices of a source for its running token sums; no slice is more than a small part of the source.
 SLICES = 4096
-#: Rising (> 0) or falling (< 0) weight over time, between -1 and 1; the integral stays the target share.
-TILT = {"own_website": -0.5, "alibaba": -0.5, "trade_press": 0.5, "inspection_report": 0.5}
+#: Steps of training time in which weights are constant.
+STEPS = 64
+#: Targets are a fixed small set; more are refused rather than collected.
+MAX_TARGETS = 10_000
 
 
 @lru_cache(maxsize=4)
@@ -50,53 +56,82 @@ def count_tokens(text: str | Column, tokenizer: str | None = None) -> Column:
     return count(text)
 
 
-def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, tilt: dict[str, float] | None = None, tokenizer: str | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def schedule(shares: Mapping[str, float], shapes: Mapping[str, Sequence[tuple[float, float]]] | None = None) -> dict[str, np.ndarray]:
+    """Weight of each source in each of STEPS equal steps of training time.
+
+    ``shapes`` gives (t, relative weight) points of a source, linear between them; sources without
+    one are even.  Rows and columns are scaled in turn until the weights of a step sum to 1 and a
+    source's mean weight is its share of all shares, so shapes bend the curriculum but not the mix.
+    """
+    names = sorted(s for s, w in shares.items() if w and w > 0)
+    if not names:
+        return {}
+    middle = (np.arange(STEPS) + 0.5) / STEPS
+    bent = {s: sorted(shapes[s]) for s in names if shapes and s in shapes}
+    w = np.stack([np.interp(middle, *zip(*bent[s])) if s in bent else np.ones(STEPS) for s in names]).clip(1e-6)
+    goal = np.array([shares[s] for s in names]) / sum(shares[s] for s in names)
+    for _ in range(2000):
+        w *= (goal / w.mean(axis=1))[:, None]
+        off = np.abs(w.sum(axis=0) - 1).max()
+        w /= w.sum(axis=0)
+        if off < 1e-12:
+            break
+    return dict(zip(names, w))
+
+
+def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, shapes: Mapping[str, Sequence[tuple[float, float]]] | None = None, tokenizer: str | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The mixed corpus, and the shares it reaches.
 
     Corpus: ``docs`` columns plus ``n_tokens``, ``copy`` (from 0) and ``position`` in [0, 1), one
     row per use of a text, sorted by position.  Report: source, target_share, demand (tokens
     wanted), tokens, share_reached, copies (uses), texts.
 
-    ``total_tokens`` defaults to all tokens of the targeted sources.  A source takes its texts in
-    a seeded order, pass after pass, until its demand is met (the last text may overshoot) or
-    every text was used ``max_repeats`` times; what it cannot supply is not handed to others.
+    ``total_tokens`` defaults to all tokens of the targeted sources; ``shapes`` are those of
+    ``schedule``.  A source takes its texts in a seeded order, pass after pass, until its demand
+    is met (the last text may overshoot) or every text was used ``max_repeats`` times; what it
+    cannot supply is not handed to others, and its uses are spread over its whole schedule.
     Sources without target are left out; targets without texts report zero.  Texts that are
     null or empty weigh nothing and are left out.  If a source stands in ``targets`` more than
-    once, its largest target counts.  Rows with one key are texts of their own.
+    once, its largest target counts.  Rows with one key are texts of their own.  Texts are
+    tokenised once; running sums go over narrow rows, and texts come back by key at the end.
     """
-    clash = {"n_tokens", "copy", "position"} & set(docs.columns)
+    clash = {"n_tokens", "copy", "position", "_h"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
-    slope = TILT if tilt is None else tilt
-    goal = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    wanted = F.broadcast(goal)  # one row per target
-    sized = docs.join(wanted.select("source"), "source", "left_semi").withColumn("n_tokens", count_tokens("text", tokenizer)).where("n_tokens > 0")
-    sized = sized.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).withColumn("_slice", F.pmod("_h", F.lit(SLICES)).cast("int"))
+    goal = cut(targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")))
+    known = [r for r in goal.limit(MAX_TARGETS + 1).collect()]
+    if len(known) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    rows = docs.join(small_side(goal.select("source")), "source", "left_semi").where("text <> ''").withColumn("_h", F.xxhash64(F.lit(seed), *plain))
+    sized = cut(rows.select("doc_id", "source", "_h", count_tokens("text", tokenizer).alias("n_tokens")).where("n_tokens > 0")).withColumn("_slice", F.pmod("_h", F.lit(SLICES)).cast("int"))
 
     # Running sums in two levels: slice totals (at most SLICES rows a target), then inside each slice.
-    from tradeloom.runtime import cut
-
     slices = cut(sized.groupBy("source", "_slice").agg(F.sum("n_tokens").alias("_tokens"), F.count(F.lit(1)).alias("_texts")))
     supply = slices.groupBy("source").agg(F.sum("_tokens").alias("supply"), F.sum("_texts").alias("texts"))
     plan = goal.join(supply, "source", "left").fillna(0, ["supply", "texts"])
     total = total_tokens if total_tokens is not None else (plan.agg(F.sum("supply")).first()[0] or 0)
     plan = plan.withColumn("demand", F.col("target_share") * F.lit(float(total))).withColumn("use", F.least("demand", F.col("supply").cast("double") * F.col("max_repeats")))
     plan = cut(plan)
+    weights = schedule({r.source: r.target_share for r in known}, shapes)
+    filled = docs.sparkSession.createDataFrame([(s, [0.0, *np.cumsum(w / w.sum()).tolist()]) for s, w in weights.items()], "source string, filled array<double>")
     before = slices.withColumn("_before", F.sum("_tokens").over(Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)))
-    starts = before.select("source", "_slice", F.coalesce("_before", F.lit(0)).alias("_before")).join(F.broadcast(plan.select("source", "supply", "use")), "source")
+    starts = before.select("source", "_slice", F.coalesce("_before", F.lit(0)).alias("_before"))
 
     inside = Window.partitionBy("source", "_slice").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    at = sized.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(starts), ["source", "_slice"])
+    at = sized.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(small_side(cut(starts)), ["source", "_slice"]).join(small_side(plan.select("source", "supply", "use")), "source")
     at = at.withColumn("_at", F.col("_before") + F.col("_in")).where(F.col("_at") < F.col("use"))
     passes = F.ceil((F.col("use") - F.col("_at")) / F.col("supply")).cast("int")
     used = at.withColumn("copy", F.explode(F.sequence(F.lit(0), passes - 1)))
 
-    share = (F.col("copy") * F.col("supply") + F.col("_at")) / F.col("use")  # of the source's demand, in [0, 1)
-    tau = F.coalesce(F.create_map(*[F.lit(x) for kv in slope.items() for x in kv])[F.col("source")], F.lit(0.0)) if slope else F.lit(0.0)
-    # weight share·(1 + tau·(2t - 1)) integrates to share·(t + tau·(t² - t)); solve that for t
-    solved = ((tau - 1) + F.sqrt((1 - tau) * (1 - tau) + 4 * tau * share)) / (2 * tau)
-    position = F.when(F.abs(tau) < 1e-9, share).otherwise(solved)
-    corpus = used.withColumn("position", position).select(*[F.col(f"`{c}`") for c in docs.columns], "n_tokens", "copy", "position")
+    # The step whose part of the source's demand holds the text's share of it, and the place inside that step.
+    share = (F.col("copy") * F.col("supply") + F.col("_at")) / F.col("use")
+    placed = used.withColumn("_share", share).join(small_side(filled), "source")
+    step = F.greatest(F.least(F.size(F.filter("filled", lambda x: x <= F.col("_share"))), F.lit(STEPS)), F.lit(1))
+    placed = placed.withColumn("_step", step).withColumn("_low", F.expr("filled[_step - 1]")).withColumn("_high", F.expr("filled[_step]"))
+    position = (F.col("_step") - 1 + F.least((F.col("_share") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-12)), F.lit(1 - 1e-9))) / STEPS
+    uses = placed.select("doc_id", "_h", "n_tokens", "copy", position.alias("position"))
+    corpus = rows.dropDuplicates(["doc_id", "_h"]).join(uses, ["doc_id", "_h"]).select(*[F.col(f"`{c}`") for c in docs.columns], "n_tokens", "copy", "position")
 
     one = used.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
     reached = plan.join(one, "source", "left").fillna(0, ["tokens", "copies"])

@@ -59,14 +59,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
 
 
+#: Curriculum of the p9 queries: relative weights over training time, a parameter and no default of the library.
+CURRICULUM = {"own_website": ((0.0, 1.5), (1.0, 0.5)), "alibaba": ((0.0, 1.5), (1.0, 0.5)), "trade_press": ((0.0, 0.5), (0.6, 1.0), (1.0, 1.5)), "inspection_report": ((0.0, 0.5), (1.0, 1.5))}
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    return mixture(docs, table(spark, d, "mix_targets"))[0]
+    return mixture(docs, table(spark, d, "mix_targets"), shapes=CURRICULUM)[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    report = mixture(docs, table(spark, d, "mix_targets"))[1]
+    report = mixture(docs, table(spark, d, "mix_targets"), shapes=CURRICULUM)[1]
     return report.withColumn("share_reached", F.round("share_reached", 6)).withColumn("demand", F.round("demand", 3))
 
 
