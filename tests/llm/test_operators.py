@@ -6,7 +6,7 @@ import re
 import pytest
 
 from tradeloom.llm import address_parts, boilerplate, company_names
-from tradeloom.llm.addresses import locations, same_location
+from tradeloom.llm.addresses import NEIGHBOURS, locations, same_location
 from tradeloom.llm.boilerplate import aligned_nodes, body_lines
 from tradeloom.llm.contamination import WINDOW, Patterns, leaks, words
 from tradeloom.llm.entity_match import match_entities
@@ -97,6 +97,31 @@ def test_addresses(spark):
     assert locations(df).count() == 11 and same_location(df.limit(0)).count() == 0
 
 
+def test_units_are_checked_on_demand(spark):
+    rows = [(1, "Pune", "Unit 3, No. 12 Ganemu Road, Pune", "Unit 4, 12 Ganemu Rd, Pune"), (2, "Pune", "Unit 3, 12 Ganmeu Road, Pune", None)]
+    df = spark.createDataFrame(rows, "id bigint, city string, address string, factory_location string")
+    for strict, places in ((False, 1), (True, 2)):
+        got = {(r.id, r.field): r.location for r in locations(df, strict).collect()}
+        assert len(set(got.values())) == places and got[1, "address"] == got[2, "address"]
+
+
+def test_blocks_longer_than_the_window(spark):
+    """A block of 300 streets with one house number: every pair within the slips is linked, by brute force."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("bdgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(100)]
+    streets = sorted({t for b in base for t in (b, b[:2] + b[3] + b[2] + b[4:], "q" + b[1:])})
+    df = spark.createDataFrame([(k, "Pune", f"No. 12 {t} Road, Pune", None) for k, t in enumerate(streets)], "id bigint, city string, address string, factory_location string")
+    got = {r.id: r.location for r in locations(df).collect()}
+    group = list(range(len(streets)))
+    for i, x in enumerate(streets):
+        for j in range(i):
+            if address_parts.slips(x, streets[j]) <= 1:
+                a, b = group[i], group[j]
+                group = [a if g == b else g for g in group]
+    assert len(streets) > NEIGHBOURS + 1
+    assert all((got[i] == got[j]) == (group[i] == group[j]) for i in got for j in range(0, i, 3))
+
+
 def test_slips():
     for a, b, n in (("abc", "abc", 0), ("abc", "acb", 1), ("abc", "ab", 1), ("abcd", "badc", 2), ("", "xy", 2), ("kitten", "sitting", 3)):
         assert address_parts.slips(a, b) == address_parts.slips(b, a) == n

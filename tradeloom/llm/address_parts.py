@@ -51,6 +51,7 @@ class Parts(NamedTuple):
     kind: str
     city: str
     postcode: str
+    unit: str = ""
 
 
 def fold(text: str) -> str:
@@ -70,7 +71,8 @@ def city_key(text: str) -> str:
 def parse(text: str, cities: set[str]) -> Parts:
     """The parts that tell locations apart; '' where one is missing.
 
-    ``cities`` are the known city keys.  Units, districts, provinces and countries are read over.
+    ``cities`` are the known city keys.  Districts, provinces and countries are read over; the
+    unit stands apart, for those who want it checked.
     """
     t = re.sub(r"\(.*?\)", " ", fold(text))
     t = _SEP.sub(" , ", re.sub(r"p\. ?r\. ?china", "china", t))
@@ -78,6 +80,7 @@ def parse(text: str, cities: set[str]) -> Parts:
     if m := _UK.search(t):
         post = m[1] + m[2]
         t = t[: m.start()] + " , " + t[m.end() :]
+    unit = (_UNIT.search(t) or ("", ""))[1]
     t = _UNIT.sub(" , ", t)
     number = ""
     if m := _NUMBER.search(t):
@@ -118,7 +121,7 @@ def parse(text: str, cities: set[str]) -> Parts:
         street, kind = m[1], _JOINED[m[2]]
     else:
         street = next((c.strip() for c in body.split(",") if c.strip()), "")
-    return Parts(number.lstrip("0"), re.sub(r"[^a-z一-鿿]", "", street), kind, city, post)
+    return Parts(number.lstrip("0"), re.sub(r"[^a-z一-鿿]", "", street), kind, city, post, unit.lstrip("0"))
 
 
 def slips(a: str, b: str) -> int:
