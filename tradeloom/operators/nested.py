@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.functions.payload import EACH, discover, payload, step
-from tradeloom.runtime import sql_text
+from tradeloom.runtime import cut, sql_text
 
 
 def array_paths(df: DataFrame, variant: str) -> list[tuple[str, ...]]:
@@ -68,30 +68,52 @@ def array_elements(df: DataFrame, key: str, raw: str) -> DataFrame:
     return parsed.where("_v IS NOT NULL").select(F.col(key), F.inline(rows))
 
 
-def flat_tables(df: DataFrame, key: str, raw: str) -> dict[str, DataFrame]:
-    """One DataFrame per array path, and ``''`` for the root objects.
+def flat_records(df: DataFrame, key: str, raw: str) -> tuple[DataFrame, dict[str, tuple[list[str], bool]]]:
+    """Every row of every flat table in one pass, and for each table its fields and whether it has scalar elements.
 
-    Each has the raw row's key, ``parent_idx``, ``idx``, and one string column for each scalar
-    field of the elements (nested object keys joined by ``.``), or ``value`` for scalar elements.
-    The parent of a row is the row of the enclosing path whose idx is this row's parent_idx.
-    Key columns named like a field are kept apart by the prefix ``f.`` of fields.
+    (key, array_path, parent_idx, idx, value, fields): the root objects have array_path, parent_idx
+    and idx ''; ``fields`` maps the scalar fields of an object (nested object keys joined by ``.``)
+    to their text, ``value`` is the text of a scalar element.  Payloads are parsed once for the
+    paths and once for the rows.
     """
     parsed = df.select(F.col(f"`{key}`").alias(key), payload(F.col(f"`{raw}`")).alias("_v")).where("_v IS NOT NULL")
     known = [(p, kind) for _, p, kind in discover(parsed, "_v")]
     paths = {p for p, kind in known if kind == "array"}
+    fields: dict[str, dict[tuple[str, ...], None]] = {"": {}}
+    scalars: dict[str, bool] = {"": False}
+    for prefix in [(), *[(*p, EACH) for p in sorted(paths)]]:
+        n, name = len(prefix), dotted(prefix)
+        own = fields.setdefault(name, {})
+        scalars[name] = scalars.get(name, False) or (n > 0 and (prefix, "scalar") in known)
+        for p, kind in known:
+            if kind == "scalar" and p[:n] == prefix and EACH not in p[n:] and len(p) > n:
+                own[p[n:]] = None
+    each = ["array(named_struct('array_path', '', 'parent_idx', '', 'idx', '', 'value', _v))", *[elements_sql("_v", p, paths, True) for p in sorted(paths)]]
+    rows = parsed.select(F.col(key), F.expr(f"inline(flatten(filter(array({', '.join(each)}), a -> a IS NOT NULL)))"))
+
+    def filled(name: str) -> str:
+        pairs = ", ".join(f"{sql_text('.'.join(f))}, {step('value', f, 'string')}" for f in sorted(fields[name]))
+        return f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)" if pairs else "cast(map() AS map<string,string>)"
+
+    cases = "".join(f" WHEN {sql_text(name)} THEN {filled(name)}" for name in sorted(fields))
+    out = rows.select(F.col(key), "array_path", "parent_idx", "idx", F.expr("CASE WHEN idx <> '' THEN try_variant_get(value, '$', 'string') END").alias("value"), F.expr(f"CASE array_path{cases} END").alias("fields"))
+    out = out.withColumn("value", F.expr("CASE WHEN cardinality(fields) = 0 THEN value END"))
+    return out, {name: ([".".join(f) for f in sorted(fields[name])], scalars[name]) for name in fields}
 
-    def fields(prefix: tuple[str, ...]) -> list[tuple[str, ...]]:
-        n = len(prefix)
-        return sorted({p[n:] for p, kind in known if kind == "scalar" and p[:n] == prefix and EACH not in p[n:] and len(p) > n})
 
-    def columns(var: str, prefix: tuple[str, ...]) -> list:
-        return [F.expr(step(var, f, "string")).alias("f." + ".".join(f)) for f in fields(prefix)]
+def flat_tables(df: DataFrame, key: str, raw: str) -> dict[str, DataFrame]:
+    """One DataFrame per array path, and ``''`` for the root objects.
 
-    out = {"": parsed.select(F.col(key), *columns("_v", ()))}
-    for p in sorted(paths):
-        rows = parsed.select(F.col(key), F.expr(f"inline({elements_sql('_v', p, paths, True)})"))
-        scalar = [F.expr("try_variant_get(value, '$', 'string')").alias("value")] if ((*p, EACH), "scalar") in known else []
-        flat = rows.select(F.col(key), "parent_idx", "idx", *scalar, *columns("value", (*p, EACH)))
-        name = dotted(p)
-        out[name] = out[name].unionByName(flat, allowMissingColumns=True) if name in out else flat
+    Each has the raw row's key, ``parent_idx``, ``idx``, and one string column for each scalar
+    field of the elements (nested object keys joined by ``.``), or ``value`` for scalar elements.
+    The parent of a row is the row of the enclosing path whose idx is this row's parent_idx.
+    Key columns named like a field are kept apart by the prefix ``f.`` of fields.  All tables
+    are read from one written pass over the payloads.
+    """
+    rows, layout = flat_records(df, key, raw)
+    rows = cut(rows)
+    out = {}
+    for name, (fields, scalar) in layout.items():
+        place = [] if name == "" else ["parent_idx", "idx", *(["value"] if scalar else [])]
+        out[name] = rows.where(F.col("array_path") == name).select(F.col(key), *place, *[F.try_element_at("fields", F.lit(f)).alias("f." + f) for f in fields])
     return out
