@@ -12,7 +12,7 @@ PLACES = ("guangzhou", "shenzhen", "dongguan", "foshan", "zhongshan", "huizhou",
 #: Alphabet and position weights of the unified social credit code.
 CODE_ALPHABET, CODE_WEIGHTS = "0123456789ABCDEFGHJKLMNPQRTUWXY", (1, 3, 9, 27, 19, 26, 16, 17, 20, 29, 25, 13, 8, 24, 10, 30, 28)
 #: Date patterns in the order they are tried.
-DATE_PATTERNS = ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d MMM yyyy", "MMM d, yyyy", "yyyy/M/d")
+DATE_PATTERNS = ("yyyy-M-d", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d/M/yyyy", "M/d/yyyy")
 
 
 def normalise_company_name(c: Column) -> Column:
@@ -20,7 +20,7 @@ def normalise_company_name(c: Column) -> Column:
     t = F.trim(F.lower(c))
     for e in NAME_ENDINGS:
         t = F.trim(F.regexp_replace(t, e, ""))
-    t = F.regexp_replace(F.regexp_replace(t, r"\([^)]*\)", " "), r"(?U)[^\w\s]", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"\([^)]*\)", " "), r"(?U)[^\p{L}\p{N}_\s]", " ")
     words = F.filter(F.split(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), " "), lambda w: w != "")
     kept = F.filter(words, lambda w: ~w.isin(*PLACES))
     return F.coalesce(F.array_join(F.when(F.size(kept) > 0, kept).otherwise(words), " "), F.lit(""))
@@ -47,6 +47,6 @@ def parse_date(c: Column) -> Column:
 
 
 def parse_number(c: Column) -> Column:
-    """A number without its unit and thousands commas, times 10,000 after 万; null if there is none."""
-    n = F.regexp_replace(c, r"[^0-9.\-]", "").try_cast("double")
+    """A number from the digits and points of a text, times 10,000 with 万; null if there are none."""
+    n = F.regexp_replace(c, r"[^0-9.]", "").try_cast("double")
     return F.when(c.contains("万"), n * 10000).otherwise(n)

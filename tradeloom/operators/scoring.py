@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.operators.taxonomy import categories_of, haystack
+
 #: Weight of the best source by name; others get DEFAULT_SOURCE.
 SOURCE_WEIGHTS = {"trade": 90, "automechanika_2026": 65, "shanghai_expo": 60, "hktdc": 55, "europages_eastern_europe": 50, "global_directory": 45, "alibaba": 35, "china_1688": 35, "indiamart": 35, "google": 25, "llm-discovery": 20}
 DEFAULT_SOURCE = 30
@@ -15,18 +17,6 @@ COMPOSITE = {"product_fit_score": 0.25, "provenance_score": 0.25, "verification_
 MANUFACTURER = (("tenure", 15), ("certifications", 25))
 CONFIDENCE = (("manufacturer_assessment", 25), ("facility_address", 25), ("certification_consistency", 15), ("oem_readiness_evidence", 15), ("export_shipment_evidence", 10), ("contact_verification", 5), ("own_site_name_match", 5), ("linkedin_presence", 5))
 TENURE_GAP = 2
-#: Categories of the bill of materials by the words that show them.
-CATEGORIES = {
-    "axles_suspension": ("torsion axle", "leaf spring", "air suspension", "wheel hub", "hub cap", "bearing set"),
-    "brakes": ("brake shoe", "drum brake", "breakaway"),
-    "coupling": ("ball coupling", "tow hitch", "jockey wheel", "drawbar eye", "king pin", "landing leg", "jack stand"),
-    "electrics": ("led tail lamp", "side marker", "number plate lamp", "wiring harness", "7-pin", "13-pin", "junction box", "reflector"),
-    "body": ("mudguard", "door seal", "sliding window", "roof vent", "plywood", "checker plate", "roller door", "curtain side"),
-    "fasteners": ("u-bolt", "anti-luce", "twist lock", "ratchet", "winch strap", "load bar", "cam lock", "tie ring"),
-    "horsebox": ("horsebox", "breast bar", "kick plate", "ramp spring"),
-    "lifting": ("tail lift", "hydraulic ram", "gas strut"),
-}
-
 
 def _true(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(False))
@@ -40,14 +30,8 @@ def _points(*terms: tuple[Column, int]) -> Column:
     return F.least(F.lit(100), sum((F.when(c, F.lit(p)).otherwise(0) for c, p in terms), F.lit(0)))
 
 
-def categories_of(text: Column) -> Column:
-    """Names of the categories that a lower-case text shows, in fixed order."""
-    found = [F.when(F.greatest(*[text.contains(w).cast("int") for w in ws]) == 1, F.lit(k)) for k, ws in CATEGORIES.items()]
-    return F.array_compact(F.array(*found))
-
-
 def keyword_text() -> Column:
-    return F.lower(F.concat_ws(" ", F.coalesce("product_keywords", F.array().cast("array<string>")), F.coalesce("primary_categories", F.array().cast("array<string>"))))
+    return haystack("product_keywords", "primary_categories", "canonical_name")
 
 
 def product_fit() -> Column:

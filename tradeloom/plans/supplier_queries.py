@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradeloom.functions.text import extract_domain, normalise_company_name, parse_date, parse_number, valid_code
-from tradeloom.operators import contacts, history, resolve, scoring
+from tradeloom.functions.text import CODE_ALPHABET, CODE_WEIGHTS, NAME_ENDINGS, PLACES, extract_domain, normalise_company_name, parse_date, parse_number, valid_code
+from tradeloom.operators import contacts, history, resolve, scoring, taxonomy
 from tradeloom.runtime import table
 
 AS_OF = "2026-06-30"
@@ -31,11 +31,20 @@ def _in(names: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
+def _likes(col: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"{col} LIKE '%{w}%'" for w in words) + ")"
+
+
+def _shows(col: str, c: taxonomy.Category) -> str:
+    """The category rule in SQL: a vetoing word leaves only words that do not hold one."""
+    return f"CASE WHEN {_likes(col, c.exclude)} THEN {_likes(col, c.strong)} ELSE {_likes(col, c.include)} END" if c.exclude else _likes(col, c.include)
+
+
 def _case(col: str) -> str:
-    return " + ".join("CASE WHEN " + " OR ".join(f"contains({col}, '{w}')" for w in ws) + " THEN 1 ELSE 0 END" for ws in scoring.CATEGORIES.values())
+    return "(" + " + ".join(f"CAST({_shows(col, c)} AS INT)" for c in taxonomy.CATEGORIES) + ")"
 
 
-_KEYWORDS = "lower(concat_ws(' ', array_to_string(product_keywords, ' '), array_to_string(primary_categories, ' ')))"
+_KEYWORDS = "lower(concat_ws(' || ', nullif(array_to_string(product_keywords, ' || '), ''), nullif(array_to_string(primary_categories, ' || '), ''), canonical_name))"
 _CAPS = "caps AS (SELECT DISTINCT id AS supplier_id, lower(trim(k)) AS term FROM suppliers, UNNEST(product_keywords) AS u(k) WHERE k IS NOT NULL)"
 
 
@@ -92,12 +101,15 @@ def unverified_chinese(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "suppliers").where("country = 'China' AND coalesce(uscc, '') <> '' AND coalesce(uscc_verified, false) = false").select("id", "uscc")
 
 
-@query("SELECT id, domain FROM suppliers WHERE lower(domain) IN (SELECT lower(domain) FROM suppliers WHERE id % 7 = 3) AND domain IS NOT NULL")
+_DOMAIN = "nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), ':[0-9]+$', ''), '^www\\.', ''), '')"
+
+
+@query(f"SELECT id, domain FROM suppliers WHERE lower(domain) IN (SELECT {_DOMAIN.format('website')} FROM batch_upload_rows WHERE website IS NOT NULL)")
 def domain_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Equality lookup of a stated set of domains."""
-    s = table(spark, d, "suppliers").where("domain IS NOT NULL")
-    wanted = s.where("id % 7 = 3").select(F.lower("domain").alias("w"))
-    return s.join(wanted, F.lower(s.domain) == wanted.w, "left_semi").select("id", "domain")
+    """Equality lookup of the web addresses of all uploaded rows."""
+    wanted = table(spark, d, "batch_upload_rows").select(extract_domain(F.col("website")).alias("w"))
+    s = table(spark, d, "suppliers").select("id", "domain")
+    return s.join(wanted, F.lower(s.domain) == wanted.w, "left_semi")
 
 
 @query("SELECT id, iso_9001_expiry FROM suppliers WHERE iso_9001 AND iso_9001_expiry < DATE '2026-06-30' + INTERVAL 90 DAY")
@@ -170,20 +182,29 @@ def confidence_checks(spark: SparkSession, d: str) -> DataFrame:
 
 # --- coverage ---------------------------------------------------------------------------------------------------------
 
-_CATS = " UNION ALL ".join(f"SELECT id, domain, primary_email, country, '{k}' AS category FROM t WHERE " + " OR ".join(f"contains(kw, '{w}')" for w in ws) for k, ws in scoring.CATEGORIES.items())
+_CATS = " UNION ALL ".join(f"SELECT id, domain, primary_email, country, '{c.key}' AS category FROM t WHERE {_shows('kw', c)}" for c in taxonomy.CATEGORIES)
 _COV = f"t AS (SELECT id, domain, primary_email, country, {_KEYWORDS} AS kw FROM suppliers), c AS ({_CATS})"
 
 
 def _by_category(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "suppliers").select("id", "domain", "primary_email", "country", F.explode(scoring.categories_of(scoring.keyword_text())).alias("category"))
+    return table(spark, d, "suppliers").select("id", "domain", "primary_email", "country", F.explode(taxonomy.categories_of(scoring.keyword_text())).alias("category"))
+
+
+_TARGETS = ", ".join(f"('{c.key}', {c.target})" for c in taxonomy.CATEGORIES)
 
 
-@query(f"WITH {_COV}, k(category) AS (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in scoring.CATEGORIES)}) SELECT k.category, count(c.id) AS total, count(c.id) FILTER (c.domain <> '') AS with_domain, count(c.id) FILTER (c.primary_email <> '') AS with_email, CASE WHEN count(c.id) = 0 THEN 'EMPTY' WHEN count(c.id) >= 200 THEN 'OK' WHEN count(c.id) >= 50 THEN 'THIN' ELSE 'CRITICAL' END AS status FROM k LEFT JOIN c USING (category) GROUP BY 1")
+@query(f"""WITH {_COV}, k(category, target) AS (VALUES {_TARGETS}), n AS (SELECT k.category, any_value(k.target) AS target, count(c.id) AS total, count(c.id) FILTER (c.domain <> '') AS with_domain, count(c.id) FILTER (c.primary_email <> '') AS with_email FROM k LEFT JOIN c USING (category) GROUP BY 1)
+SELECT category, target, total, with_domain, with_email, greatest(0, target - total) AS gap, CASE WHEN total = 0 THEN 'EMPTY' WHEN total >= target THEN 'OK' WHEN total >= target * 0.5 THEN 'THIN' ELSE 'CRITICAL' END AS status FROM n""")
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
-    cats = spark.createDataFrame([(k,) for k in scoring.CATEGORIES], "category string")
+    cats = spark.createDataFrame([(c.key, c.target) for c in taxonomy.CATEGORIES], "category string, target int")
     found = _by_category(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("domain") != "").alias("with_domain"), F.count_if(F.col("primary_email") != "").alias("with_email"))
-    total = F.col("total")
-    return cats.join(found, "category", "left").fillna(0).withColumn("status", F.when(total == 0, "EMPTY").when(total >= 200, "OK").when(total >= 50, "THIN").otherwise("CRITICAL"))
+    full = cats.join(found, "category", "left").fillna(0, ["total", "with_domain", "with_email"])
+    return full.withColumn("gap", F.greatest(F.lit(0).cast("bigint"), F.col("target") - F.col("total"))).withColumn("status", taxonomy.status(F.col("total"), F.col("target")))
+
+
+@query(f"WITH {_COV} SELECT id FROM t WHERE id NOT IN (SELECT id FROM c)")
+def coverage_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "suppliers").where(F.size(taxonomy.categories_of(scoring.keyword_text())) == 0).select("id")
 
 
 @query(f"WITH {_COV}, n AS (SELECT category, country, count(*) AS suppliers FROM c WHERE country IS NOT NULL GROUP BY 1, 2) SELECT category, country, suppliers FROM n QUALIFY row_number() OVER (PARTITION BY category ORDER BY suppliers DESC, country) <= 3")
@@ -194,9 +215,6 @@ def coverage_top_countries(spark: SparkSession, d: str) -> DataFrame:
 
 # --- resolution and merging -------------------------------------------------------------------------------------------
 
-_DOMAIN = "nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), ':[0-9]+$', ''), '^www\\.', ''), '')"
-
-
 @query(f"SELECT row_id, {_DOMAIN.format('website')} AS domain FROM batch_upload_rows")
 def domain_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "batch_upload_rows").select("row_id", extract_domain(F.col("website")).alias("domain"))
@@ -212,7 +230,16 @@ def fuzzy_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolve.fuzzy_matches(table(spark, d, "batch_upload_rows"), table(spark, d, "suppliers"))
 
 
-@query()
+def _name(col: str) -> str:
+    """The rule of normalised names in SQL."""
+    t = f"trim(lower(replace({col}, 'İ', 'i\u0307')))"
+    for e in NAME_ENDINGS:
+        t = f"trim(regexp_replace({t}, '{e}', ''))"
+    t = f"list_filter(regexp_split_to_array(regexp_replace(regexp_replace({t}, '\\([^)]*\\)', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')"
+    return f"coalesce(array_to_string(CASE WHEN len(list_filter({t}, lambda w: w NOT IN {_in(PLACES)})) > 0 THEN list_filter({t}, lambda w: w NOT IN {_in(PLACES)}) ELSE {t} END, ' '), '')"
+
+
+@query(f"SELECT id, {_name('canonical_name')} AS name FROM suppliers")
 def name_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "suppliers").select("id", normalise_company_name(F.col("canonical_name")).alias("name"))
 
@@ -245,10 +272,13 @@ def change_log(spark: SparkSession, d: str) -> DataFrame:
     return history.change_log(table(spark, d, "directory_listings").where("company_name IS NOT NULL"), "company_name", ["listing_id"], ["website", "country"])
 
 
-@query("SELECT source, source_id, min(raw_id) AS raw_id FROM raw_source_data WHERE source IS NOT NULL AND source_id IS NOT NULL GROUP BY 1, 2")
+@query("""WITH old AS (SELECT source, source_id, raw_id FROM raw_source_data WHERE scraped_at < TIMESTAMP '2026-01-01'), new AS (SELECT source, source_id, min(raw_id) AS raw_id FROM raw_source_data WHERE scraped_at >= TIMESTAMP '2026-01-01' AND source IS NOT NULL AND source_id IS NOT NULL GROUP BY 1, 2)
+SELECT * FROM old UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.source = n.source AND o.source_id = n.source_id)""")
 def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "raw_source_data").select("source", "source_id", "raw_id")
-    return history.insert_or_ignore(rows.limit(0), rows, ["source", "source_id"], "raw_id")
+    """What came from 2026 on, inserted into what was there before unless its key is."""
+    rows = table(spark, d, "raw_source_data").select("source", "source_id", "raw_id", "scraped_at")
+    old = rows.where("scraped_at < '2026-01-01'").drop("scraped_at")
+    return history.insert_or_ignore(old, rows.where("scraped_at >= '2026-01-01'").drop("scraped_at"), ["source", "source_id"], "raw_id")
 
 
 @query("SELECT s.id FROM suppliers s WHERE NOT EXISTS (SELECT 1 FROM collected_pages p WHERE p.supplier_id = s.id) AND s.domain IS NOT NULL")
@@ -328,7 +358,13 @@ def buyer_profile_rank(spark: SparkSession, d: str) -> DataFrame:
 # --- text and values --------------------------------------------------------------------------------------------------
 
 
-@query()
+_MAIL_SQL = "regexp_extract_all({0}, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{{2,}}')"
+_UNHIDDEN = "regexp_replace(regexp_replace(text, '(?i)\\s*(\\[\\s*at\\s*\\]|\\(\\s*at\\s*\\))\\s*', '@', 'g'), '(?i)\\s*(\\[\\s*dot\\s*\\]|\\(\\s*dot\\s*\\))\\s*', '.', 'g')"
+
+
+@query(f"""WITH x AS (SELECT page_id, unnest(list_distinct(list_transform(list_concat({_MAIL_SQL.format('text')}, {_MAIL_SQL.format(_UNHIDDEN)}), lambda m: lower(rtrim(m, '.'))))) AS mail FROM collected_pages),
+y AS (SELECT page_id, string_agg(mail, '; ' ORDER BY mail) AS emails FROM x WHERE split_part(mail, '.', -1) NOT IN {_in(contacts.IMAGE_ENDINGS)} AND split_part(mail, '@', 1) NOT IN {_in(contacts.JUNK_LOCAL)} AND split_part(mail, '@', -1) NOT IN {_in(contacts.JUNK_DOMAINS)} GROUP BY 1)
+SELECT p.page_id, coalesce(y.emails, '') AS emails FROM collected_pages p LEFT JOIN y USING (page_id)""")
 def email_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "collected_pages").select("page_id", F.array_join(F.array_sort(contacts.emails(F.col("text"))), "; ").alias("emails"))
 
@@ -338,14 +374,23 @@ def parking_gate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", contacts.parked(F.col("text")).alias("reason"))
 
 
-@query()
+@query(f"""SELECT id, regexp_full_match(c, '[{CODE_ALPHABET}]{{18}}') AND substr('{CODE_ALPHABET}', CAST((31 - list_sum(list_transform(range(1, 18), lambda i: (instr('{CODE_ALPHABET}', substr(c, i, 1)) - 1) * ({list(CODE_WEIGHTS)})[i])) % 31) % 31 + 1 AS INT), 1) = substr(c, 18, 1) AS valid
+FROM (SELECT id, upper(trim(uscc)) AS c FROM suppliers WHERE uscc IS NOT NULL)""")
 def code_check(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "suppliers").where("uscc IS NOT NULL").select("id", valid_code(F.col("uscc")).alias("valid"))
 
 
-@query()
+_FORMATS = ("%Y-%m-%d", "%d %b %Y", "%b %d, %Y", "%B %d, %Y", "%d/%m/%Y", "%m/%d/%Y")
+_WRITTEN = " ".join(f"WHEN {k} THEN strftime(shipment_date, '{f}')" for k, f in enumerate(_FORMATS))
+
+
+@query(f"""WITH t AS (SELECT id, quantity, CASE (id % 6) {_WRITTEN} END AS written FROM shipment_records)
+SELECT id, TRY_CAST(nullif(regexp_replace(quantity, '[^0-9.]', '', 'g'), '') AS DOUBLE) * CASE WHEN contains(quantity, '万') THEN 10000 ELSE 1 END AS quantity_value, CAST(try_strptime(written, {list(_FORMATS)}) AS DATE) AS parsed_date FROM t""")
 def quantity_parse(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "shipment_records").select("id", parse_number(F.col("quantity")).alias("quantity_value"), parse_date(F.col("shipment_date").cast("string")).alias("parsed_date"))
+    """Quantities, and dates that are first written in all six formats, by turns."""
+    patterns = ("yyyy-MM-dd", "dd MMM yyyy", "MMM dd, yyyy", "MMMM dd, yyyy", "dd/MM/yyyy", "MM/dd/yyyy")
+    written = F.coalesce(*[F.when(F.col("id") % 6 == k, F.date_format("shipment_date", p)) for k, p in enumerate(patterns)])
+    return table(spark, d, "shipment_records").select("id", parse_number(F.col("quantity")).alias("quantity_value"), parse_date(written).alias("parsed_date"))
 
 
 @query("SELECT DISTINCT id AS supplier_id, lower(trim(k)) AS term FROM suppliers, UNNEST(product_keywords) AS u(k) WHERE k IS NOT NULL")
