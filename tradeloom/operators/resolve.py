@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tradeloom.functions.text import extract_domain, normalise_company_name
+from tradeloom.runtime import cut, small_side
 
 #: Scores from which a pair is merged or reviewed, and the least that is looked at; boosts for phone and city.
 MERGE, REVIEW, FLOOR, PHONE_BOOST, CITY_BOOST = 0.92, 0.75, 0.50, 0.15, 0.10
@@ -33,32 +35,127 @@ def indel_ratio(a: str, b: str) -> float:
     return 1.0 if not a and not b else 2 * common_length(a, b) / (len(a) + len(b))
 
 
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """``common_length`` of every pair, bit-parallel over all pairs at once; texts over 64 letters one by one."""
+    count = len(a)
+    if not count:
+        return np.zeros(0, dtype=np.int64)
+    codes = [np.array(t, dtype="U64").view(np.uint32).reshape(count, 64) for t in (a, b)]
+    seen = np.zeros(int(max(codes[0].max(), codes[1].max())) + 1, dtype=bool)
+    for some in (0, *codes):
+        seen[some] = True
+    x, y = ((np.cumsum(seen) - 1)[c] for c in codes)
+    lane, one = np.arange(count), np.uint64(1)
+    masks = np.zeros((count, int(seen.sum())), dtype=np.uint64)
+    width = np.fromiter(map(len, a), dtype=np.int64, count=count)
+    for i in range(int(min(width.max(), 64))):
+        live = i < width
+        masks[lane[live], x[live, i]] |= one << np.uint64(i)
+    masks[:, 0] = 0  # behind the ends
+    row = np.full(count, ~np.uint64(0))
+    for j in range(int(min(max(map(len, b)), 64))):
+        u = row & masks[lane, y[:, j]]
+        row = (row + u) | (row - u)
+    out = np.bitwise_count(~row).astype(np.int64)
+    for k in range(count):
+        if width[k] > 64 or len(b[k]) > 64:
+            out[k] = common_length(a[k], b[k])
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)])
+    x, y = a.fillna("").tolist(), b.fillna("").tolist()
+    size = np.fromiter((len(s) + len(t) for s, t in zip(x, y)), dtype=np.int64, count=len(x))
+    return pd.Series(np.where(size == 0, 1.0, 2 * common_lengths(x, y) / np.maximum(size, 1)))
 
 
-def fuzzy_matches(candidates: DataFrame, golden: DataFrame) -> DataFrame:
-    """(row_id, supplier_id, score, decision): the best golden record of each candidate above FLOOR.
+def _letters(names: DataFrame, name: str, share: float, ranks: DataFrame) -> DataFrame:
+    """``names`` with one row for each of the rarest letters of ``name``, so many that two names whose ratio reaches ``share`` have one in common.
 
-    Blocks are country and the first three letters of a normalised name's longest word, so a
-    block holds names that could reach the merge score; both sides are made distinct by name
-    first.  Ties go to the smallest id; candidates without a name or country have no match.
+    A letter counts with its how-manieth.  A ratio of r needs r / (2 - r) of a name's letters in the
+    other, so among the rest and one more, in one order for all names, is a common one.
     """
+    chars = f"filter(split({name}, ''), ch -> ch <> '')"
+    marked = f"transform({chars}, (ch, i) -> concat(ch, size(filter(slice({chars}, 1, i + 1), o -> o = ch))))"
+    each = names.withColumn("_t", F.explode(F.expr(marked)))
+    ranked = each.join(ranks, "_t").withColumn("_n", F.length(name)).withColumn("_k", F.row_number().over(Window.partitionBy(*names.columns).orderBy("_rank", "_t")))
+    return ranked.where(F.col("_k") <= F.col("_n") - F.ceil(F.col("_n") * (share / (2 - share)) - 1e-9) + 1).select(*names.columns, "_t")
+
+
+def _mask(name: str) -> Column:
+    """64 bits of a name's counted letters; two masks never differ in more bits than the names in letters."""
+    chars = f"filter(split({name}, ''), ch -> ch <> '')"
+    marks = f"transform({chars}, (ch, i) -> concat(ch, size(filter(slice({chars}, 1, i + 1), o -> o = ch))))"
+    return F.expr(f"aggregate({marks}, 0L, (a, t) -> a | shiftleft(1L, cast(pmod(xxhash64(t), 64) AS int)))")
+
+
+def _near_names(c: DataFrame, g: DataFrame, keys: list[str], share: float, ranks: DataFrame) -> DataFrame:
+    """(n, m) of distinct names within equal ``keys`` whose ratio may reach ``share``."""
+    left = _letters(c.where(" AND ".join(f"{k} <> ''" for k in keys) or "true").select(*keys, "n", "mask").distinct(), "n", share, ranks)
+    right = _letters(g.where(" AND ".join(f"{k} <> ''" for k in keys) or "true").select(*keys, F.col("n").alias("m"), F.col("mask").alias("mask2")).distinct(), "m", share, ranks)
+    both, short = F.length("n") + F.length("m"), F.least(F.length("n"), F.length("m"))
+    alike = (2 * short >= share * both - 1e-9) & (F.bit_count(F.col("mask").bitwiseXOR(F.col("mask2"))) <= (1 - share) * both + 1e-9)
+    return left.join(right, [*keys, "_t"]).where(alike).select("n", "m").distinct()
 
-    def keyed(df: DataFrame, name: str, key: str, alias: str) -> DataFrame:
-        n = normalise_company_name(F.col(name))
-        longest = F.element_at(F.array_sort(F.transform(F.split(n, " "), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
-        return df.select(F.col(key).alias(alias), n.alias("n"), F.lower("country").alias("country"), F.lower("city").alias("city"), F.substring(longest, 1, 3).alias("block")).where("n <> '' AND country IS NOT NULL")
-
-    c, g = keyed(candidates, "company_name", "row_id", "row_id"), keyed(golden, "canonical_name", "id", "supplier_id")
-    names = c.select("n", "country", "block").distinct().join(g.select(F.col("n").alias("m"), "country", "block").distinct(), ["country", "block"])
-    near = names.where(F.abs(F.length("n") - F.length("m")) <= (F.length("n") + F.length("m")) * (1 - FLOOR)).withColumn("r", ratio("n", "m")).where(F.col("r") >= FLOOR - PHONE_BOOST - CITY_BOOST)
-    pairs = c.join(near, ["n", "country", "block"]).join(g.select(F.col("n").alias("m"), "country", "block", "supplier_id", F.col("city").alias("city2")), ["m", "country", "block"])
-    score = F.least(F.lit(1.0), F.round(F.col("r") + F.when(F.col("city") == F.col("city2"), CITY_BOOST).otherwise(0.0), 6))
-    best = Window.partitionBy("row_id").orderBy(F.col("score").desc(), "supplier_id")
-    top = pairs.withColumn("score", score).where(F.col("score") >= FLOOR).withColumn("k", F.row_number().over(best)).where("k = 1")
-    return top.select("row_id", "supplier_id", "score", decision(F.col("score")).alias("decision"))
+
+def _side(df: DataFrame, name: str, key: str, phone: str) -> DataFrame:
+    clean = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    digits = F.regexp_replace(F.coalesce(F.col(phone), F.lit("")), r"\D", "")
+    return df.select(F.col(key), normalise_company_name(F.col(name)).alias("n"), clean("country").alias("country"), clean("city").alias("city"), F.substring(digits, -10, 10).alias("phone"))
+
+
+def fuzzy_matches(candidates: DataFrame, golden: DataFrame) -> DataFrame:
+    """(row_id, supplier_id, score): the best golden record of each candidate whose score reaches REVIEW.
+
+    The score is the names' ratio, plus PHONE_BOOST where the last ten digits of the phones agree
+    and CITY_BOOST where the cities do, at most 1.  A candidate is compared with its country's
+    records, with all if it has none.  Names are compared once however many rows bear them, and
+    no pair that reaches REVIEW is missed: each boost has a route of its own, with the ratio that
+    the boost leaves to reach.  Ties go to the smallest id; names that normalise to nothing have
+    no match.
+    """
+    c = cut(_side(candidates, "company_name", "row_id", "phone").where("n <> ''").withColumn("mask", _mask("n")))
+    g = cut(_side(golden, "canonical_name", "id", "primary_phone").where("n <> ''").withColumnRenamed("id", "supplier_id").withColumn("mask", _mask("n")))
+    chars = "filter(split(n, ''), ch -> ch <> '')"
+    counted = c.select("n").union(g.select("n")).distinct().select(F.explode(F.expr(f"transform({chars}, (ch, i) -> concat(ch, size(filter(slice({chars}, 1, i + 1), o -> o = ch))))")).alias("_t"))
+    ranks = small_side(cut(counted.groupBy("_t").agg(F.count(F.lit(1)).alias("_rank"))))
+    here, nowhere = c.where("country <> ''"), c.where("country = ''")
+    routes = [(REVIEW, []), (REVIEW - CITY_BOOST, ["city"]), (REVIEW - PHONE_BOOST, ["phone"]), (REVIEW - PHONE_BOOST - CITY_BOOST, ["phone", "city"])]
+    near = None
+    for share, keys in routes:
+        for side, place in ((here, ["country"]), (nowhere, [])):
+            some = _near_names(side, g, [*place, *keys], share, ranks)
+            near = some if near is None else near.union(some)
+    scored = cut(near.distinct().withColumn("r", ratio("n", "m")).where(F.col("r") >= REVIEW - PHONE_BOOST - CITY_BOOST - 1e-9))
+    other = g.select(F.col("n").alias("m"), "supplier_id", F.col("country").alias("country2"), F.col("city").alias("city2"), F.col("phone").alias("phone2"))
+    pairs = c.join(scored, "n").join(other, "m").where("country = '' OR country = country2")
+    boosted = F.least(F.lit(1.0), F.col("r") + F.when((F.col("phone") != "") & (F.col("phone") == F.col("phone2")), PHONE_BOOST).otherwise(0.0))
+    score = F.round(F.least(F.lit(1.0), boosted + F.when((F.col("city") != "") & (F.col("city") == F.col("city2")), CITY_BOOST).otherwise(0.0)), 9)
+    best = pairs.withColumn("score", score).where(F.col("score") >= REVIEW)
+    top = best.groupBy("row_id").agg(F.max(F.struct("score", (-F.col("supplier_id")).alias("_i"))).alias("x"))
+    return top.select("row_id", (-F.col("x._i")).alias("supplier_id"), F.col("x.score").alias("score"))
+
+
+def resolve(candidates: DataFrame, golden: DataFrame, code: str | None = None) -> DataFrame:
+    """(row_id, supplier_id, score, level, decision) of every candidate: by credit code, then web address, then name.
+
+    ``code`` is the candidates' column of credit codes, if they have one; codes of 18 letters match
+    with 1.0, web addresses with 0.95.  The first level that matches counts.  Candidates without
+    a match that reaches REVIEW are new, with no supplier.
+    """
+    levels = []
+    if code:
+        own = candidates.select("row_id", F.trim(code).alias("uscc")).where("length(uscc) = 18")
+        known = golden.select(F.col("id").alias("supplier_id"), "uscc").where("uscc IS NOT NULL").groupBy("uscc").agg(F.min("supplier_id").alias("supplier_id"))
+        levels.append(own.join(known, "uscc").select("row_id", "supplier_id", F.lit(1.0).alias("score"), F.lit(1).alias("level")))
+    levels.append(exact_matches(candidates, golden).groupBy("row_id").agg(F.min("supplier_id").alias("supplier_id")).select("row_id", "supplier_id", F.lit(0.95).alias("score"), F.lit(2).alias("level")))
+    levels.append(fuzzy_matches(candidates, golden).select("row_id", "supplier_id", "score", F.lit(3).alias("level")))
+    found = levels[0]
+    for x in levels[1:]:
+        found = found.union(x)
+    first = found.groupBy("row_id").agg(F.min_by(F.struct("supplier_id", "score", "level"), "level").alias("x")).select("row_id", "x.*")
+    return candidates.select("row_id").join(first, "row_id", "left").withColumn("decision", decision(F.coalesce("score", F.lit(0.0))))
 
 
 def decision(score: Column) -> Column:

@@ -227,7 +227,7 @@ def exact_key_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.fuzzy_matches(table(spark, d, "batch_upload_rows"), table(spark, d, "suppliers"))
+    return resolve.resolve(table(spark, d, "batch_upload_rows"), table(spark, d, "suppliers"))
 
 
 def _name(col: str) -> str:
