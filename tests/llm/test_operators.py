@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from tradeloom.llm import address_parts, boilerplate, company_names
+from tradeloom.llm import address_parts, boilerplate, company_names, contamination
 from tradeloom.llm.addresses import NEIGHBOURS, locations, same_location
 from tradeloom.llm.boilerplate import aligned_nodes, body_lines
 from tradeloom.llm.contamination import WINDOW, Patterns, leaks, words
@@ -145,6 +145,16 @@ def test_leaks_against_plain_search(spark):
     assert got == {(1, 0), (5, 0), (6, 0)}
 
 
+def test_more_items_than_one_set_of_tables(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"v{rng.randrange(500)}" for _ in range(12))) for i in range(30)]
+    docs = spark.createDataFrame([(i, "before " + t + " after") for i, t in items] + [(99, None)], "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(tuple(r) for r in leaks(docs, table).collect())
+    monkeypatch.setattr(contamination, "MAX_ITEM_CHARS", 300)
+    assert sorted(tuple(r) for r in leaks(docs, table).collect()) == whole == [(i, i) for i, _ in items]
+
+
 # p9
 def test_mixture(spark):
     docs = [(i, "abc"[i % 3], f"text number {i} with some more words") for i in range(90)] + [(900, "a", None), (901, "a", ""), (902, None, "x"), (903, "z", "untargeted")]

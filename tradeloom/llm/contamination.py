@@ -9,6 +9,7 @@ could make up half an item are then aligned exactly, word by word.
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.runtime import cut
+
 #: Words of a window, and words of a block of the shift tables.
 WINDOW, BLOCK = 5, 2
 #: Share of an item's words that makes a leak.
@@ -26,7 +29,7 @@ SHARE = 0.5
 EXCHANGED = 0.12
 #: Most words inserted in a row (page numbers, marks of continuation) without ending a stretch.
 INSERTED = 3
-#: Evaluation items are a fixed small set; more text than this is refused rather than broadcast.
+#: Characters of items that one set of tables holds; more items make more sets, each broadcast in a search of its own.
 MAX_ITEM_CHARS = 16_000_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
@@ -156,20 +159,29 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     A stretch may have single exchanged words and short insertions; case, punctuation, spacing
     and layout marks do not matter.  Items shorter than a window must stand whole.  Null and
     empty texts hold nothing; copies of a document are found like any other.  The items are
-    read once to the driver, where their size is checked, and shipped with the search; no row
-    of the corpus is shuffled.
+    read to the driver set by set, at most MAX_ITEM_CHARS of them at once, and shipped with the
+    search of that set; no row of the corpus is shuffled.  A set reads the corpus once.
     """
-    rows = items.where(F.col(text).isNotNull()).select(item_key, text).distinct()
+    rows = cut(items.where(F.col(text).isNotNull()).select(item_key, text).distinct())
     chars = rows.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    if chars > MAX_ITEM_CHARS:
-        raise ValueError(f"{chars} characters of evaluation text; the search takes {MAX_ITEM_CHARS}")
-    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows.collect()])
+    sets = max(1, math.ceil(2 * chars / MAX_ITEM_CHARS)) if chars > MAX_ITEM_CHARS else 1
     kinds = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
-
+    corpus = docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("d"), F.col(text).alias("t"))
+    found = None
+    for k in range(sets):
+        part = rows.where(F.pmod(F.xxhash64(item_key), F.lit(sets)) == k).collect()
+        if not part and sets > 1:
+            continue
+        one = corpus.mapInPandas(_search(docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part]), doc_key, item_key), f"`{doc_key}` {kinds[0]}, `{item_key}` {kinds[1]}")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _search(shared, doc_key: str, item_key: str):  # noqa: ANN001, ANN202
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         patterns = Patterns(shared.value)
         for b in batches:
             got = [(d, i) for d, t in zip(b["d"], b["t"]) for i in patterns.leaked(t)]
             yield pd.DataFrame(got, columns=[doc_key, item_key])
 
-    return docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("d"), F.col(text).alias("t")).mapInPandas(search, f"`{doc_key}` {kinds[0]}, `{item_key}` {kinds[1]}")
+    return search
