@@ -204,11 +204,13 @@ def widen(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
     round adds nothing.
     """
     bits = int(np.clip(math.ceil(math.log2(max(nodes.count(), 2))) - 1, 8, 30))
+    sims = nodes.select("sim").distinct()  # tables hold fingerprints, not texts
     known = front = cut(labelled)
     while front.limit(1).count():
         probes = cut(_cells(front, bits, "a_"))
-        near = _cells(nodes, bits).join(small_side(probes), "cell").where(F.bit_count(F.col("sim").bitwiseXOR(F.col("a_sim"))) <= HAMMING)
-        pairs = near.where("seg <> a_seg").select("seg", "sim", "a_seg").distinct().withColumns({"x": F.expr(_features("seg")), "y": F.expr(_features("a_seg"))})
+        near = _cells(sims, bits).join(small_side(probes), "cell").where(F.bit_count(F.col("sim").bitwiseXOR(F.col("a_sim"))) <= HAMMING)
+        near = small_side(cut(near.select("sim", "a_seg").distinct()))
+        pairs = nodes.join(near, "sim").where("seg <> a_seg").withColumns({"x": F.expr(_features("seg")), "y": F.expr(_features("a_seg"))})
         alike = pairs.where(F.size(F.array_intersect("x", "y")) >= SIMILARITY * F.size(F.array_union("x", "y")))
         front = cut(alike.select("seg", "sim").distinct().join(known.select("seg"), "seg", "left_anti"))
         known = known.unionByName(front)
