@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -63,10 +64,7 @@ CATEGORIES = (
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | text.contains(w)
-    return hit
+    return text.rlike("|".join(map(re.escape, words))) if words else F.lit(False)
 
 
 def shows(text: Column, category: Category) -> Column:

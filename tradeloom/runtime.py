@@ -21,6 +21,7 @@ def local_session(name: str = "tradeloom", cores: str = "*", partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
@@ -36,7 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is ``spark.checkpoint.dir``; only where that is unset (tests, local use) is a
     temporary folder chosen here.  ``localCheckpoint`` is never used, so a lost executor costs
-    nothing but the rerun of its tasks.
+    nothing but the rerun of its tasks.  Jobs run when this is called, so plans with a ``cut``
+    do part of their work while they are built.  With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` (set in local sessions) files go when
+    nothing refers to them any more.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
