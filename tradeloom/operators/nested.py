@@ -65,7 +65,8 @@ def array_elements(df: DataFrame, key: str, raw: str) -> DataFrame:
         return df.sparkSession.createDataFrame([], f"`{key}` {dict(df.dtypes)[key]}, array_path string, parent_idx string, idx string")
     each = ", ".join(elements_sql("_v", p, set(paths), False) for p in paths)
     rows = F.expr(f"flatten(filter(array({each}), a -> a IS NOT NULL))")
-    return parsed.where("_v IS NOT NULL").select(F.col(key), F.inline(rows))
+    # a plain inline would infer a filter that makes the rows again
+    return parsed.where("_v IS NOT NULL").select(F.col(key), F.inline_outer(rows)).where("array_path IS NOT NULL")
 
 
 def flat_records(df: DataFrame, key: str, raw: str) -> tuple[DataFrame, dict[str, tuple[list[str], bool]]]:
@@ -89,7 +90,7 @@ def flat_records(df: DataFrame, key: str, raw: str) -> tuple[DataFrame, dict[str
             if kind == "scalar" and p[:n] == prefix and EACH not in p[n:] and len(p) > n:
                 own[p[n:]] = None
     each = ["array(named_struct('array_path', '', 'parent_idx', '', 'idx', '', 'value', _v))", *[elements_sql("_v", p, paths, True) for p in sorted(paths)]]
-    rows = parsed.select(F.col(key), F.expr(f"inline(flatten(filter(array({', '.join(each)}), a -> a IS NOT NULL)))"))
+    rows = parsed.select(F.col(key), F.expr(f"inline_outer(flatten(filter(array({', '.join(each)}), a -> a IS NOT NULL)))"))
 
     def filled(name: str) -> str:
         pairs = ", ".join(f"{sql_text('.'.join(f))}, {step('value', f, 'string')}" for f in sorted(fields[name]))
