@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from tradeloom.functions.text import normalise_company_name
 from tradeloom.operators import resolve
 from pyspark.sql import functions as F
@@ -56,3 +57,39 @@ def test_common_lengths_of_many_pairs():
     rng = random.Random(3)
     a, b = (["".join(rng.choice("abcé ") for _ in range(rng.choice([0, 1, 5, 12, 64, 70]))) for _ in range(500)] for _ in range(2))
     assert list(resolve.common_lengths(a, b)) == [resolve.common_length(x, y) for x, y in zip(a, b)]
+
+
+def test_blocks_miss_no_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    a, b = (list(dict.fromkeys("".join(rng.choice("abcé \U00020000") for _ in range(rng.choice([1, 5, 9, 12, 64, 70]))) for _ in range(150))) for _ in range(2))
+    masks = lambda t: np.array([r[0] for r in spark.createDataFrame([(x,) for x in t], "n string").select(resolve._mask("n")).collect()])
+    ma, mb = masks(a), masks(b)
+    for share in (0.5, 0.65, 0.75):
+        i, j, r = resolve.near_pairs(a, ma, b, mb, share)
+        want = {(k, n): resolve.indel_ratio(x, y) for k, x in enumerate(a) for n, y in enumerate(b)}
+        assert dict(zip(zip(i, j), r)) == {k: v for k, v in want.items() if v >= share - 1e-9}
+    monkeypatch.setattr(resolve, "BLOCK", 16)
+    test_no_match_is_missed(spark)
+
+
+def test_names_are_compared_in_blocks_not_by_letter(spark, monkeypatch):
+    """The join by single letters made more rows than there are pairs of names, which ended by time at 0.1 GB."""
+    rng = random.Random(4)
+    cols = "{} bigint, {} string, {} string, city string, country string, {} string"
+    c, g = ([(k, "".join(rng.choice("abcdefgh") for _ in range(12)), None, None, "India", None) for k in range(n)] for n in (300, 400))
+    plans, cut = [], resolve.cut
+
+    def seen(df):
+        done = cut(df)
+        plans.append(df._jdf.queryExecution())
+        return done
+
+    monkeypatch.setattr(resolve, "cut", seen)
+    resolve.fuzzy_matches(spark.createDataFrame(c, cols.format("row_id", "company_name", "phone", "website")), spark.createDataFrame(g, cols.format("id", "canonical_name", "primary_phone", "domain"))).collect()
+
+    def joined(plan):
+        rows = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+        below = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else [plan.children().apply(k) for k in range(plan.children().size())]
+        return rows + sum(map(joined, below))
+
+    assert 0 < sum(joined(q.executedPlan()) for q in plans) < len(c) * len(g) / 10
